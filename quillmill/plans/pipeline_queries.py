@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import instants, pauses, redelivery
+from quillmill.operators import compaction, inlining, instants, pauses, redelivery
 from quillmill.runtime import table
 
 #: The time column of each table of problem 2.
@@ -46,9 +46,39 @@ def p7_sessions(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return chat_sessions(spark, d).select("machine_id", "start_ms", "end_ms")
 
+#: Whole-number text of a count.
+WHOLE = "^[0-9]+$"
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    done = compaction.compact(table(spark, d, "log_files"))
+    return spark.read.parquet(done.path).select("file_id", "line_no")
+
+
+def _counted(tables: dict[str, DataFrame], tab: str, member: str, names: list[str]) -> list[DataFrame]:
+    parts = []
+    for name in names:
+        if name in tables and member in tables[name].columns:
+            t = tables[name]
+            values = [F.col(f"`{c}`") for c in (f"{member}.intValue", member) if c in t.columns]
+            parts.append(t.where((F.size("path") <= 2) & F.coalesce(*values).rlike(WHOLE)).select(F.lit(tab).alias("tab"), F.col("key").alias("row_id"), F.col("path")[0].alias("pos"), F.coalesce(F.get("path", F.lit(1)), F.lit(-1)).alias("sub_pos")))
+    return parts
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    chat = inlining.inline_array(table(spark, d, "chat").select("row_id", F.col("message.usage.iterations").alias("iterations")), "row_id", "iterations")
+    found = chat.where("cache_creation_input_tokens >= 0").select(F.lit("chat").alias("tab"), F.col("key").alias("row_id"), F.col("path")[0].alias("pos"), F.lit(-1).alias("sub_pos"))
+    trace = inlining.inline_json(table(spark, d, "trace"), "row_id", "attributes")
+    steps = [n for n in trace if n.rpartition("/")[0] == "" and (n == "steps" or n.endswith(".steps"))]
+    calls = [n for n in trace if n.rpartition("/")[0] in steps and (n.rpartition("/")[2] == "calls" or n.endswith(".calls"))]
+    status = inlining.inline_json(table(spark, d, "statusline"), "row_id", "payload")
+    for part in [*_counted(trace, "trace", "gen_ai.usage.input_tokens", steps + calls), *_counted(status, "statusline", "context_window.total_input_tokens", ["subagents"])]:
+        found = found.unionByName(part)
+    return found
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p6_found, p6_kept, p7_found, p7_sessions)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found, p6_kept, p7_found, p7_sessions)}
 
 
 def oracle_sql() -> dict[str, str]:
