@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import compaction, inlining, instants, pauses, redelivery
+from quillmill.operators import compaction, drift, inlining, instants, pauses, recovery, redelivery
 from quillmill.runtime import table
 
 #: The time column of each table of problem 2.
@@ -76,9 +76,26 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
         found = found.unionByName(part)
     return found
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return recovery.refused(table(spark, d, "chat_lines")).select("line_id", "reason")
+
+
+def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
+    return recovery.load_lines(table(spark, d, "chat_lines")).where("reason is null").drop("reason", "at", "detail")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "store_rows"))[0]
+
+
+def p5_unified(spark: SparkSession, d: str) -> DataFrame:
+    change, cell = drift.changes(table(spark, d, "store_rows"))
+    return drift.unified_rows(cell, change)
+
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found, p6_kept, p7_found, p7_sessions)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_loaded, p5_found, p5_unified, p6_found, p6_kept, p7_found, p7_sessions)}
 
 
 def oracle_sql() -> dict[str, str]:
