@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import encoding, packing
+from quillmill.llm import encoding, garbling, packing
 from quillmill.runtime import persisted, table
 
 CAPACITY = 2048
@@ -19,8 +19,21 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, CAPACITY)
 
 
+def _inspected(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return garbling.inspect(docs, *garbling.fit(docs)).where("found")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _inspected(spark, d).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _inspected(spark, d).select("doc_id", "restored")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p8_ids, p9_containers, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
