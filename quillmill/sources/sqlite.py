@@ -93,5 +93,6 @@ class SqliteSource(DataSource):
 
 def read_table(spark: SparkSession, path: str, name: str, columns: str, pattern: str = "*.db"):
     """Rows of a table in all SQLite files of a folder (or of one file); columns: their names and types."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)
     return spark.read.format("quillmill_sqlite").schema(f"file_path string, {columns}").option("dbtable", name).option("glob", pattern).load(path)

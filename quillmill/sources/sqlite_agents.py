@@ -99,7 +99,8 @@ def openclaw_merged(lines: DataFrame, store: DataFrame) -> DataFrame:
     """DED-10: rows of the store in place of the matching lines."""
     key = F.sha2(F.concat_ws("\1", F.col("ts_ms").cast("string"), "model", *[F.col(c).cast("string") for c in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")]), 256)
     columns = store.columns
-    return migrated(lines.withColumn("content_id", key).select(*columns, "content_id"), store.withColumn("content_id", key)).drop("content_id")
+    keyed = [df.select(*columns, key.alias("content_id"), F.col("session_id").alias("session")) for df in (lines, store)]
+    return migrated(*keyed).select(*columns)
 
 
 # --- protobuf ---------------------------------------------------------------------------------------------
