@@ -44,8 +44,9 @@ def records_of(files: DataFrame) -> DataFrame:
     Lines end with LF or CRLF and count from 1 with blank ones; other line separators of Unicode belong to
     a record. Null and empty files have none. A file is read by one task, as it is one row.
     """
-    content = F.regexp_replace("content", "^﻿", "")
-    lines = files.select("file_id", "path", F.regexp_extract("content", r'"model"\s*:\s*"([^"\\]*)"', 1).alias("_model"), F.posexplode(F.split(content, "\r?\n", -1)).alias("_pos", "record"))
+    # What holds for a whole file is worked out before its lines are listed, once a file.
+    whole = files.select("file_id", "path", F.regexp_extract("content", r'"model"\s*:\s*"([^"\\]*)"', 1).alias("_model"), F.split(F.regexp_replace("content", "^\ufeff", ""), "\r?\n", -1).alias("_lines"))
+    lines = whole.select("file_id", "path", "_model", F.posexplode("_lines").alias("_pos", "record"))
     return lines.where(F.col("record").rlike(r"(?U)\S")).select("file_id", (F.col("_pos") + 1).cast("int").alias("line_no"), "record", "path", "_model")
 
 
@@ -60,10 +61,11 @@ def compact(files: DataFrame, target_bytes: int = TARGET_BYTES) -> Compacted:
     count and digests, else an error is raised.
     """
     spark = files.sparkSession
-    keys = F.from_json("record", _KEYS)
+    # A generator of one row, so that the parsed keys aren't worked out again for each use of them.
+    keys = F.inline(F.array(F.struct(F.from_json("record", _KEYS).alias("_keys"))))
     rows = (
         records_of(current_files(files))
-        .withColumn("_keys", keys)
+        .select("*", keys)
         .withColumn("session", F.coalesce("_keys.sessionId", "path"))
         .withColumn("model", F.coalesce("_keys.payload.model", "_keys.message.model", "_model"))
         .withColumn("_x", cell(F.col("session"), BITS))
