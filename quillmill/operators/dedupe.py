@@ -79,8 +79,10 @@ def greedy_entries(df: DataFrame, daily: bool = False) -> DataFrame:
                 kept.append(r)
         return pd.DataFrame(kept, columns=schema.names)
 
-    folded = reduced.groupBy("message_id", "session").applyInPandas(fold, schema)
-    return df.where("message_id is null").withColumn("place", F.col("ord")).unionByName(settled).unionByName(folded)
+    # The count uses the shuffle of the fold; what stands alone needs none.
+    counted = reduced.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("message_id", "session")))
+    folded = counted.where("_n > 1").drop("_n").groupBy("message_id", "session").applyInPandas(fold, schema)
+    return df.where("message_id is null").withColumn("place", F.col("ord")).unionByName(settled).unionByName(counted.where("_n = 1").drop("_n")).unionByName(folded)
 
 
 def merged_tiers(events: DataFrame, key: list[str], tier: str) -> DataFrame:
