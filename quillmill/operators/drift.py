@@ -80,54 +80,49 @@ def cells(rows: DataFrame) -> DataFrame:
 
 
 def profiles(cell: DataFrame) -> DataFrame:
-    """Of each field of each file: its types, counts and a sketch of its values (partially aggregated).
+    """Types of each field of each file (partially aggregated; of four types at most)."""
+    return cell.groupBy("stream_id", "file_no", "name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
-    The sketch has the least hashes in each of 16 classes of a hash of (id, type, value), so two fields
-    with the same values on shared records agree in it as far as those records are held.
+
+def sketches(cell: DataFrame, by: list[str]) -> DataFrame:
+    """A sketch of the values of each field: the least hashes in each of 16 classes of a hash of (id, type, value).
+
+    Two fields with the same values on shared records agree in it as far as those records are held.
     """
-    mark = F.when(F.col("kind").isNotNull(), F.xxhash64("id", "kind", "value"))
-    return cell.groupBy("stream_id", "file_no", "name").agg(
-        F.array_sort(F.collect_set("kind")).alias("kinds"),
-        F.count("kind").alias("filled"),
-        F.array(*[F.min(F.when(F.pmod(mark, F.lit(SKETCH)) == k, mark)) for k in range(SKETCH)]).alias("sketch"),
-    )
-
-
-def _with_neighbours(profile: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(gone, new, kept) fields from each file to the next, by the number of the later file."""
-    before = profile.select("stream_id", (F.col("file_no") + 1).alias("file_no"), "name", F.col("kinds").alias("old_kinds"), F.col("sketch").alias("old_sketch"))
-    files = profile.select("stream_id", "file_no").distinct()
-    pairs = files.join(before.select("stream_id", "file_no").distinct(), ["stream_id", "file_no"])
-    both = before.join(profile, ["stream_id", "file_no", "name"], "full_outer").join(pairs, ["stream_id", "file_no"], "left_semi")
-    absent = F.col("kinds").isNull()
-    return (
-        both.where(absent).select("stream_id", "file_no", "name", "old_kinds", "old_sketch"),
-        both.where("old_kinds is null").select("stream_id", "file_no", "name", "kinds", "sketch"),
-        both.where("kinds is not null and old_kinds is not null"),
-    )
-
-
-def agreeing(cell: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges (stream_id, file_no, old_name, new_name, n): all pairs of filled values in the ids of both files agree.
+    mark = F.xxhash64("id", "kind", "value")
+    return cell.where("kind is not null").groupBy(*by).agg(F.array(*[F.min(F.when(F.pmod(mark, F.lit(SKETCH)) == k, mark)) for k in range(SKETCH)]).alias("sketch"))
+
+
+def compared(profile: DataFrame) -> DataFrame:
+    """Fields that differ from one file to the next, by the number of the later file: stream_id, file_no, name, role (gone, new or retyped), kinds."""
+    key = ["stream_id", "file_no"]
+    before = profile.select("stream_id", (F.col("file_no") + 1).alias("file_no"), "name", F.col("kinds").alias("old_kinds"))
+    pairs = profile.select(*key).distinct().join(before.select(*key).distinct(), key)
+    both = before.join(profile, [*key, "name"], "full_outer")
+    retyped = (F.size("kinds") > 0) & (F.size("old_kinds") > 0) & (F.col("kinds") != F.col("old_kinds"))
+    role = F.when(F.col("kinds").isNull(), "gone").when(F.col("old_kinds").isNull(), "new").when(retyped, "retyped")
+    return both.select(*key, "name", role.alias("role"), F.coalesce("kinds", "old_kinds").alias("kinds")).where("role is not null").join(pairs, key, "left_semi")
+
+
+def touched(cell: DataFrame, differing: DataFrame) -> DataFrame:
+    """Filled cells, with an id, of fields that are gone (from the file before) or new, by the number of the later file."""
+    where = differing.where("role <> 'retyped'").select("stream_id", (F.col("file_no") - (F.col("role") == "gone").cast("int")).alias("_file"), "name", "role", "kinds", "file_no")
+    held = cell.where("kind is not null and id is not null").select("stream_id", F.col("file_no").alias("_file"), "name", "id", "kind", "value")
+    return held.join(where, ["stream_id", "_file", "name"]).drop("_file")
+
+
+def agreeing(cells_touched: DataFrame) -> DataFrame:
+    """Edges (stream_id, file_no, old_name, new_name): all pairs of filled values in the ids of both files agree.
 
     Candidates come from an equi-join on (id, type, value), so pairs without a common value never arise;
     one more join on the candidates alone looks for a pair that differs.
     """
-    held = cell.where("kind is not null and id is not null")
-    old = held.withColumn("file_no", F.col("file_no") + 1).join(gone.select("stream_id", "file_no", "name"), ["stream_id", "file_no", "name"]).withColumnRenamed("name", "old_name")
-    now = held.join(new.select("stream_id", "file_no", "name"), ["stream_id", "file_no", "name"]).withColumnRenamed("name", "new_name")
-    old, now = (x.drop("row_id") for x in (old, now))
-    candidates = old.join(now, ["stream_id", "file_no", "id", "kind", "value"]).groupBy("stream_id", "file_no", "old_name", "new_name").agg(F.count(F.lit(1)).alias("n"))
-    a, b = old.withColumnsRenamed({"kind": "old_kind", "value": "old_value"}), now
-    differing = (
-        candidates.select("stream_id", "file_no", "old_name", "new_name")
-        .join(a, ["stream_id", "file_no", "old_name"])
-        .join(b, ["stream_id", "file_no", "new_name", "id"])
-        .where("kind <> old_kind or value <> old_value")
-        .select("stream_id", "file_no", "old_name", "new_name")
-        .distinct()
-    )
-    return candidates.join(differing, ["stream_id", "file_no", "old_name", "new_name"], "left_anti")
+    old, now = (cells_touched.where(F.col("role") == r).select("stream_id", "file_no", "id", "kind", "value", F.col("name").alias(n)) for r, n in (("gone", "old_name"), ("new", "new_name")))
+    edge = ["stream_id", "file_no", "old_name", "new_name"]
+    candidates = old.join(now, ["stream_id", "file_no", "id", "kind", "value"]).select(*edge).distinct()
+    before = old.withColumnsRenamed({"kind": "old_kind", "value": "old_value"})
+    differing = candidates.join(before, edge[:3]).join(now, [*edge[:2], "new_name", "id"]).where("kind <> old_kind or value <> old_value").select(*edge).distinct()
+    return candidates.join(differing, edge, "left_anti")
 
 
 def assign(weights: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
@@ -160,33 +155,34 @@ def assign(weights: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
     return sorted(held.items())
 
 
-def renames(edges: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+def renames(edges: DataFrame, cells_touched: DataFrame) -> DataFrame:
     """One-to-one renames: the bipartite matching of greatest weight among the agreeing edges.
 
     The weight of an edge adds the share of common values in both sketches, equality of types and likeness
     of names. An edge whose names have no other edge is settled without leaving the JVM; only contested
-    ones, a few names of one file, are solved in a group.
+    ones, a few names of one file, are profiled further and solved in a group.
     """
     key = ["stream_id", "file_no"]
-    degree = edges.join(edges.groupBy(*key, "old_name").agg(F.count(F.lit(1)).alias("_a")), [*key, "old_name"]).join(edges.groupBy(*key, "new_name").agg(F.count(F.lit(1)).alias("_b")), [*key, "new_name"])
+    one = F.count(F.lit(1))
+    degree = edges.join(edges.groupBy(*key, "old_name").agg(one.alias("_a")), [*key, "old_name"]).join(edges.groupBy(*key, "new_name").agg(one.alias("_b")), [*key, "new_name"])
     sure = degree.where("_a = 1 and _b = 1").select(*key, "old_name", "new_name")
-    contested = (
-        degree.where("_a > 1 or _b > 1")
-        .join(gone.withColumnRenamed("name", "old_name"), [*key, "old_name"])
-        .join(new.withColumnRenamed("name", "new_name"), [*key, "new_name"])
-        .select(*key, "old_name", "new_name", "n", "old_kinds", "kinds", "old_sketch", "sketch")
-    )
+    contested = degree.where("_a > 1 or _b > 1").select(*key, "old_name", "new_name")
+    if contested.isEmpty():
+        return sure
+    sketched = sketches(cells_touched, [*key, "role", "name", "kinds"])
+    old, now = (sketched.where(F.col("role") == r).select(*key, F.col("name").alias(f"{n}_name"), F.col("kinds").alias(f"{n}_kinds"), F.col("sketch").alias(f"{n}_sketch")) for r, n in (("gone", "old"), ("new", "new")))
+    profiled = contested.join(old, [*key, "old_name"]).join(now, [*key, "new_name"])
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         weights = {}
         for r in part.itertuples():
-            one, two = ({x for x in s if x is not None and x == x} for s in (r.old_sketch, r.sketch))
+            first, second = ({x for x in s if x is not None and x == x} for s in (r.old_sketch, r.new_sketch))
             likeness = SequenceMatcher(None, r.old_name.lower().replace("_", ""), r.new_name.lower().replace("_", "")).ratio()
-            weights[r.old_name, r.new_name] = 1 + len(one & two) / max(1, len(one | two)) + 0.5 * (list(r.old_kinds) == list(r.kinds)) + likeness
+            weights[r.old_name, r.new_name] = 1 + len(first & second) / max(1, len(first | second)) + 0.5 * (list(r.old_kinds) == list(r.new_kinds)) + likeness
         found = assign(weights)
         return pd.DataFrame({"stream_id": part.stream_id.iloc[0], "file_no": part.file_no.iloc[0], "old_name": [a for a, _ in found], "new_name": [b for _, b in found]})
 
-    return sure.unionByName(contested.groupBy(*key).applyInPandas(solve, EDGES))
+    return sure.unionByName(profiled.groupBy(*key).applyInPandas(solve, EDGES))
 
 
 def changes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,15 +190,18 @@ def changes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Renamed: both names differ; removed: new_name is empty; added: old_name is empty; another set of types:
     the names are equal. Defined results: the first file of a stream, and one whose predecessor is missing,
-    have no changes; a file without readable payloads has no fields and counts as missing; ids that are null, arrays or objects pair no records.
+    have no changes; a file without readable payloads has no fields and counts as missing; ids that are
+    null, arrays or objects pair no records.
     """
     cell = persisted(cells(rows), "p5-cells")
-    gone, new, kept = _with_neighbours(profile := persisted(profiles(cell), "p5-profiles"))
+    differing = persisted(compared(profiles(cell)), "p5-differing")
+    cells_touched = persisted(touched(cell, differing), "p5-touched")
+    renamed = persisted(renames(persisted(agreeing(cells_touched), "p5-edges"), cells_touched), "p5-renames")
     key = ["stream_id", "file_no"]
-    renamed = persisted(renames(agreeing(cell, gone, new), gone, new), "p5-renames")
-    removed = gone.join(renamed.withColumnRenamed("old_name", "name"), [*key, "name"], "left_anti").select(*key, F.col("name").alias("old_name"), F.lit("").alias("new_name"))
-    added = new.join(renamed.withColumnRenamed("new_name", "name"), [*key, "name"], "left_anti").select(*key, F.lit("").alias("old_name"), F.col("name").alias("new_name"))
-    retyped = kept.where((F.size("kinds") > 0) & (F.size("old_kinds") > 0) & (F.col("kinds") != F.col("old_kinds"))).select(*key, F.col("name").alias("old_name"), F.col("name").alias("new_name"))
+    by_role = {r: differing.where(F.col("role") == r).select(*key, "name") for r in ("gone", "new", "retyped")}
+    removed = by_role["gone"].join(renamed.withColumnRenamed("old_name", "name"), [*key, "name"], "left_anti").select(*key, F.col("name").alias("old_name"), F.lit("").alias("new_name"))
+    added = by_role["new"].join(renamed.withColumnRenamed("new_name", "name"), [*key, "name"], "left_anti").select(*key, F.lit("").alias("old_name"), F.col("name").alias("new_name"))
+    retyped = by_role["retyped"].select(*key, F.col("name").alias("old_name"), F.col("name").alias("new_name"))
     return renamed.unionByName(removed).unionByName(added).unionByName(retyped), cell
 
 
