@@ -21,7 +21,8 @@ def _cut(times: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
     while k < len(times):
         start = int(times[k]) // HOUR_MS * HOUR_MS
         # Up to here times belong by length; the first pause longer than a block may end it before.
-        end = int(np.searchsorted(times, start + length, side="right"))
+        # (A length under an hour may have run out before the first time, which then is a block by itself.)
+        end = max(k + 1, int(np.searchsorted(times, start + length, side="right")))
         pauses = np.flatnonzero(np.diff(times[k:end]) > length)
         end = k + int(pauses[0]) + 1 if len(pauses) else end
         yield start, int(times[k]), int(times[end - 1])
@@ -35,11 +36,12 @@ def block_bounds(times: DataFrame, length_ms: int) -> DataFrame:
     As its start depends on where the block before ended, no window function gives it, so each key's times
     are folded in order. They are first reduced to the first and last time of each minute and the first
     after the full minute, which can't hide an end: block starts are whole hours, so a block's length runs
-    out just after a full minute. (Of lengths that aren't whole minutes all distinct times are kept.) That
+    out just after a full minute. (Of lengths under an hour, or not of whole minutes, all distinct times are
+    kept; rows of one time share a block.) That
     bounds a key by its time span, three rows a minute, whatever its number of rows, and the reduction is
     partially aggregated before the shuffle.
     """
-    if length_ms % 60_000 == 0:
+    if length_ms >= HOUR_MS and length_ms % 60_000 == 0:
         minute = F.floor(F.col("_at") / 60_000)
         reduced = times.groupBy("_key", minute.alias("_m")).agg(F.min("_at").alias("a"), F.min(F.when(F.pmod("_at", F.lit(60_000)) > 0, F.col("_at"))).alias("b"), F.max("_at").alias("c"))
         reduced = reduced.select("_key", F.explode(F.array_distinct(F.array("a", F.coalesce("b", "a"), "c"))).alias("_at"))

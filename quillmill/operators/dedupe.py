@@ -118,7 +118,7 @@ def migrated(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.unionByName(kept)
 
 
-def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """DED-13: (id, component), the least id each is linked to, over edges (id, key): ids that share any key are one.
 
     Labels of keys and ids are lowered in turn by partially aggregated minima, with pointer jumping, so the
@@ -127,15 +127,14 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     links = persisted(edges.where("id is not null and key is not null").select("id", "key").distinct(), "ded13-links")
     labels = persisted(links.groupBy("id").agg(F.min("id").alias("label")), "ded13-labels")
-    for _ in range(rounds):
+    while True:
         of_key = links.join(labels, "id").groupBy("key").agg(F.min("label").alias("low"))
         lowered = links.join(of_key, "key").groupBy("id").agg(F.min("low").alias("low"))
         jump = lowered.join(labels.select(F.col("id").alias("low"), F.col("label").alias("jumped")), "low", "left").select("id", F.least("low", "jumped").alias("new"))
         after = persisted(labels.join(jump, "id").select("id", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")), "ded13-labels")
         labels = after.select("id", "label")
         if after.where("moved").isEmpty():
-            break
-    return labels.withColumnRenamed("label", "component")
+            return labels.withColumnRenamed("label", "component")
 
 
 def merged_identities(rows: DataFrame, keys: list[str], maxima: list[str]) -> DataFrame:
