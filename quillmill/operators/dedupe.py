@@ -41,8 +41,8 @@ def greedy_entries(df: DataFrame, daily: bool = False) -> DataFrame:
     having a speed, then the first.
 
     Groups without any sidechain row, nearly all, are settled by an aggregation. Only those with one are
-    folded in order, a group being the copies of one message in one session: they are first reduced to the
-    best row of each (request, time, sidechain) by aggregation, so that repeated delivery can't grow them.
+    folded in order, a group being the copies of one message in one session: rows that are equal in all that
+    the merge looks at are first reduced to one by aggregation, so that repeated delivery can't grow them.
     """
     columns = df.columns
     side = F.coalesce(F.col("is_sidechain"), F.lit(False))
@@ -55,7 +55,7 @@ def greedy_entries(df: DataFrame, daily: bool = False) -> DataFrame:
     first = F.min("ord").alias("place")
     row = F.min(F.struct(*[r.alias(f"_{i}") for i, r in enumerate(rank)], F.struct(*columns).alias("_row"))).alias("_best")
     settled = plain.groupBy("message_id", "session", "request_id", time_key.alias("_t")).agg(row, first).select("_best._row.*", "place")
-    reduced = known.join(sided, on, "left_semi").groupBy("message_id", "session", "request_id", "ts", side.alias("_side")).agg(row, first).select("_best._row.*", "place")
+    reduced = known.join(sided, on, "left_semi").groupBy("message_id", "session", "request_id", "ts", *[r.alias(f"_r{i}") for i, r in enumerate(rank[:-1])]).agg(row, first).select("_best._row.*", "place")
     schema = T.StructType([*df.schema.fields, T.StructField("place", df.schema["ord"].dataType)])
 
     def better(new: dict, old: dict) -> bool:
