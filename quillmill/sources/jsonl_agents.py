@@ -241,3 +241,18 @@ def grok(spark: SparkSession, paths: str | list[str], summaries: DataFrame | Non
 
 
 READERS = {"claude": claude, "codex": codex, "pi": pi, "openclaw": openclaw, "copilot": copilot, "kimi": kimi, "qwen": qwen, "grok": grok}
+
+
+_HOOK = "struct<session_id:string,transcript_path:string,model:struct<id:string,display_name:string>,cost:struct<total_cost_usd:double>,context_window:struct<total_input_tokens:bigint,context_window_size:bigint>,effort:struct<level:string>>"
+
+
+def hooks(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
+    """SRC-35: status-line hook objects as columns; an unreadable one gives nulls."""
+    return df.select(*keep, F.from_json(payload, _HOOK).alias("h")).select(*keep, "h.session_id", "h.transcript_path", F.coalesce("h.model.display_name", "h.model.id").alias("model"), F.col("h.cost.total_cost_usd").alias("cost"), F.col("h.context_window.total_input_tokens").alias("context"), F.col("h.context_window.context_window_size").alias("size"), F.col("h.effort.level").alias("effort"))
+
+
+def last_context(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-36: per transcript the input tokens, cached ones included, of its last line with usage."""
+    lines = read_lines(spark, path, any_of=['"usage":{']).withColumn("r", F.from_json("value", _CLAUDE)).where("r.message.usage.input_tokens is not null")
+    u = F.col("r.message.usage")
+    return lines.groupBy("file_path").agg(F.max_by(counter(u["input_tokens"]) + counter(u["cache_creation_input_tokens"]) + counter(u["cache_read_input_tokens"]), "ord").alias("context"))

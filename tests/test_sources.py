@@ -258,3 +258,10 @@ def test_registry_and_catalogues(spark, tmp_path):
     assert rows(catalogue.flat_catalogue(spark, str(tmp_path / "c1")), "model", "input", "context") == [("m1", 1e-6, 5), ("m2", 2e-6, None)]
     put(tmp_path, "c2/b.json", json.dumps({"prov": {"models": {"k": {"id": "pm", "cost": {"input": 2.0}, "limit": {"context": 9}}}}}))
     assert rows(catalogue.provider_catalogue(spark, str(tmp_path / "c2")), "provider", "model", "input", "context") == [("prov", "pm", 2e-6, 9)]
+
+
+def test_hooks_and_last_context(spark, tmp_path):
+    put(tmp_path, "t.jsonl", claude_line("2026-01-01T00:00:00Z", into=1), claude_line("2026-01-01T00:00:01Z", into=50), {"type": "user"})
+    assert rows(jsonl_agents.last_context(spark, str(tmp_path)), "context") == [(57,)]
+    df = spark.createDataFrame([(1, '{"session_id":"s","model":{"id":"m"},"cost":{"total_cost_usd":1.5},"context_window":null}'), (2, "broken"), (3, None)], "k int, p string")
+    assert rows(jsonl_agents.hooks(df, "p", ["k"]), "k", "session_id", "model", "cost", "context") == [(1, "s", "m", 1.5, None), (2, None, None, None, None), (3, None, None, None, None)]
