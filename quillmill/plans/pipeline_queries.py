@@ -98,5 +98,14 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_loaded, p5_found, p5_unified, p6_found, p6_kept, p7_found, p7_sessions)}
 
 
+_COPIES = f"""with c as (select row_id, message.id as message_id, requestId, sessionId, row_number() over (partition by trim(message.id, '{redelivery.SPACES}'), trim(requestId, '{redelivery.SPACES}'), trim(sessionId, '{redelivery.SPACES}') order by row_id) as copy from chat) """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": r"""with f as (select *, regexp_replace(path, '^archived_', '') as p from log_files), k as (select file_id, string_split_regex(regexp_replace(content, '^\x{feff}', ''), '\r?\n') as lines from f
+            qualify machine_id is null or path is null or row_number() over (partition by machine_id, p order by case when path like 'archived\_%' escape '\' then 1 else 0 end, file_id) = 1), l as (select file_id, unnest(lines) as line, generate_subscripts(lines, 1) as n from k)
+            select file_id, cast(n as integer) as line_no from l where regexp_matches(line, '\S')""",
+        "p6_found": _COPIES + "select row_id from c where copy > 1 and message_id is not null",
+        "p6_kept": _COPIES + "select row_id, message_id, requestId, sessionId from c where copy = 1 or message_id is null",
+    }
