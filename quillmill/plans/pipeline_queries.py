@@ -101,8 +101,23 @@ def queries() -> dict:
 _COPIES = f"""with c as (select row_id, message.id as message_id, requestId, sessionId, row_number() over (partition by trim(message.id, '{redelivery.SPACES}'), trim(requestId, '{redelivery.SPACES}'), trim(sessionId, '{redelivery.SPACES}') order by row_id) as copy from chat) """
 
 
+def _elements(name: str, source: str, within: str) -> str:
+    """CTEs of an array's elements and those within them, with both positions."""
+    lists = f"{name}0 as (select row_id, json_extract({source}, '$[*]') as l from {name}), {name}1 as (select row_id, unnest(l) as e, generate_subscripts(l, 1) - 1 as pos from {name}0), {name}2 as (select row_id, pos, json_extract(e, '$.{within}[*]') as l from {name}1)"
+    return f"{lists}, {name}3 as (select row_id, pos, unnest(l) as e, generate_subscripts(l, 1) - 1 as sub_pos from {name}2), {name}4 as (select row_id, pos, -1 as sub_pos, e from {name}1 union all select row_id, pos, sub_pos, e from {name}3)"
+
+
+_TOKENS = ", ".join(f"json_extract_string(e, '{p}')" for p in ('$."gen_ai.usage.input_tokens".intValue', "$.gen_ai.usage.input_tokens.intValue", '$."gen_ai.usage.input_tokens"', "$.gen_ai.usage.input_tokens"))
+_NESTED = f"""with t as (select row_id, coalesce(json_extract(attributes, '$."gen_ai.steps"'), json_extract(attributes, '$.gen_ai.steps')) as steps from trace), {_elements("t", "steps", "calls")}, u as (select row_id, json_extract(payload, '$.subagents') as agents from statusline), {_elements("u", "agents", "subagents")},
+ c as (select row_id, unnest(message.usage.iterations) as e, generate_subscripts(message.usage.iterations, 1) - 1 as pos from chat)
+ select 'chat' as tab, row_id, cast(pos as integer) as pos, -1 as sub_pos from c where e.cache_creation_input_tokens >= 0
+ union all select 'trace', row_id, cast(pos as integer), cast(sub_pos as integer) from t4 where regexp_full_match(coalesce({_TOKENS}), '[0-9]+')
+ union all select 'statusline', row_id, cast(pos as integer), cast(sub_pos as integer) from u4 where regexp_full_match(json_extract_string(e, '$.context_window.total_input_tokens'), '[0-9]+')"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _NESTED,
         "p1_found": r"""with f as (select *, regexp_replace(path, '^archived_', '') as p from log_files), k as (select file_id, string_split_regex(regexp_replace(content, '^\x{feff}', ''), '\r?\n') as lines from f
             qualify machine_id is null or path is null or row_number() over (partition by machine_id, p order by case when path like 'archived\_%' escape '\' then 1 else 0 end, file_id) = 1), l as (select file_id, unnest(lines) as line, generate_subscripts(lines, 1) as n from k)
             select file_id, cast(n as integer) as line_no from l where regexp_matches(line, '\S')""",
