@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.functions.usage import DAY_MS, local_date, quarter, salted_key
+from quillmill.functions.usage import DAY_MS, iso_week, local_date, quarter, salted_key
 from quillmill.operators.dedupe import claimed_cells, keep_best, without
+from quillmill.operators.summarize import derived_rollups
 
 SHARD = ["machine", "agent", "utc_date"]
 
@@ -115,3 +116,12 @@ def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select(
         part[0].alias("machine"), part[1].alias("agent"), F.concat_ws("-", *part[2:]).alias("utc_date"), place.alias("place"), F.from_json("value", schema).alias("shard"), F.try_parse_json("value").isNotNull().alias("readable")
     ).where("machine <> ''")
+
+
+def write_rollups(cell: DataFrame, path: str) -> None:
+    """SNK-10: the derived tables daily, weekly, monthly and models below a path, each replaced as a whole."""
+    day = F.col("utc_date").cast("date")
+    rows = cell.withColumn("tokens", F.col("input_tokens") + F.col("output_tokens"))
+    for name, period in {"daily": F.col("utc_date"), "weekly": iso_week(day), "monthly": F.substring("utc_date", 1, 7)}.items():
+        derived_rollups(rows, period).write.mode("overwrite").parquet(f"{path}/{name}")
+    rows.groupBy("model").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost")).write.mode("overwrite").parquet(f"{path}/models")

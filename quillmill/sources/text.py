@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from datetime import UTC, date, datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,3 +64,23 @@ def parent_name(path: Column) -> Column:
 def text(column: Column) -> Column:
     """Trimmed text, null if empty."""
     return F.nullif(F.trim(column), F.lit(""))
+
+
+def eligible_files(root: str, pattern: str, since: str | None, until: str | None) -> list[str]:
+    """SRC-12: files below a folder that can hold lines of a window of days, sorted by path.
+
+    A file is left out only if it was last changed before the window, a day of grace given, or if the date
+    in its path lies after it by more than a day; lines are filtered again, so the window is never exact.
+    """
+    first = date.fromisoformat(since) - timedelta(days=1) if since else date.min
+    last = date.fromisoformat(until) + timedelta(days=1) if until else date.max
+    found = []
+    for path in sorted(Path(root).rglob(pattern)):
+        named = re.search(r"/(\d{4})/(\d{2})/(\d{2})/[^/]*$", str(path))
+        try:
+            begun = date(*map(int, named.groups())) if named else date.min
+        except ValueError:
+            begun = date.min
+        if path.is_file() and not path.is_symlink() and begun <= last and datetime.fromtimestamp(path.stat().st_mtime, UTC).date() >= first:
+            found.append(str(path))
+    return found

@@ -1,6 +1,7 @@
 """Readers over small stores written here from the formats' shapes."""
 
 import json
+import os
 import sqlite3
 
 import pytest
@@ -10,7 +11,7 @@ from quillmill.options import Options
 from quillmill.plans import reports
 from quillmill.sources import catalogue, document_agents, jsonl_agents, registry, sqlite_agents
 from quillmill.sources.sqlite import read_table
-from quillmill.sources.text import project_paths, read_lines, roots
+from quillmill.sources.text import eligible_files, project_paths, read_lines, roots
 
 
 def put(base, path, *records):
@@ -265,3 +266,10 @@ def test_hooks_and_last_context(spark, tmp_path):
     assert rows(jsonl_agents.last_context(spark, str(tmp_path)), "context") == [(57,)]
     df = spark.createDataFrame([(1, '{"session_id":"s","model":{"id":"m"},"cost":{"total_cost_usd":1.5},"context_window":null}'), (2, "broken"), (3, None)], "k int, p string")
     assert rows(jsonl_agents.hooks(df, "p", ["k"]), "k", "session_id", "model", "cost", "context") == [(1, "s", "m", 1.5, None), (2, None, None, None, None), (3, None, None, None, None)]
+
+
+def test_files_of_a_window(tmp_path):
+    old, new, far = (put(tmp_path, f"2026/{m}/01/a.jsonl", {}) for m in ("01", "02", "09"))
+    os.utime(old, (0, 0))
+    assert eligible_files(str(tmp_path), "*.jsonl", "2026-01-15", "2026-03-01") == [str(new)]
+    assert eligible_files(str(tmp_path), "*.jsonl", None, None) == [str(old), str(new), str(far)]

@@ -264,6 +264,14 @@ def test_shards_are_replaced_as_a_whole(spark, tmp_path):
     assert got(both, "machine", "verdict") == [("A", "kept"), ("B", "suppressed")]
 
 
+def test_rollups_are_written_whole(spark, tmp_path):
+    cell = sync.cells(entries(spark))
+    for _ in range(2):
+        sync.write_rollups(cell, str(tmp_path))
+    assert got(spark.read.parquet(f"{tmp_path}/models")) == [("m", 9, 1.5)]
+    assert got(spark.read.parquet(f"{tmp_path}/weekly"), "period", "agent", "machine", "model", "tokens") == [("1970-W01", "ag", None, None, 9), ("1970-W01", None, "A", None, 9), ("1970-W01", None, None, "m", 9), ("1970-W01", None, None, None, 9)]
+
+
 def test_shard_documents(spark, tmp_path):
     good, bad = tmp_path / "m1/shards/ag/2026/01/02.json", tmp_path / "m1/shards/ag/2026/01/03.json"
     good.parent.mkdir(parents=True)
