@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.runtime import persisted
+
 # Public names of the codecs that texts are mistaken for and written in.
 SINGLE_BYTE = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic", "cp1253", "cp1254"]
 MULTI_BYTE = ["cp932", "gbk", "euc_jp", "big5", "euc_kr"]
@@ -166,7 +168,7 @@ class Model:
         return result
 
 
-def count_ngrams(counted: dict[str, int], into: list[np.ndarray]) -> None:
+def count_ngrams(counted: dict[str, float], into: list[np.ndarray]) -> None:
     times = np.fromiter(counted.values(), np.float64, len(counted))
     for places, group in _parts(list(counted)):
         slots, owner = _slots(group)
@@ -272,17 +274,31 @@ def _scorer(shared) -> Scorer:
 _COUNTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("slot", T.IntegerType()), T.StructField("n", T.DoubleType())])
 
 
-def train(docs: DataFrame, earlier: tuple[Model, float] | None = None) -> Model:
-    """A model of all segments, or of those that an earlier model and margin finds clean.
+_SEGMENTS = T.StructType([T.StructField("segment", T.StringType()), T.StructField("n", T.LongType())])
 
-    Each task adds up its n-grams in tables of fixed size and sends the filled slots, which are summed by
-    slot; so what is shuffled and collected is bounded by the tables, not by the corpus.
+
+def looks_garbled(segment: str) -> bool:
+    """Whether a segment shows without a model that it may be garbled: marks of lost characters, or a codec in which all its words beyond ASCII are strict UTF-8.
+
+    Chains to other codecs don't show: nearly all clean text in one-byte codecs is valid in some multi-byte one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(earlier[0]) if earlier else None
-    margin = earlier[1] if earlier else 0.0
+    if _DAMAGED.search(segment):
+        return True
+    words = [w for w in _WORD.findall(segment) if not w.isascii()]
+    for wrong in WRONG:
+        for word in words:
+            data = to_bytes(word, wrong)
+            if data is None or data.isascii() or from_bytes(data, "utf-8") is None:
+                break
+        else:
+            return True
+    return False
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(1 << b) for b in BITS]
+
+def distinct_segments(docs: DataFrame) -> DataFrame:
+    """segment, n: each distinct segment of the corpus and how often it is there, as a table in the shared folder."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: dict[str, int] = {}
         held = 0
         for batch in batches:
@@ -290,11 +306,42 @@ def train(docs: DataFrame, earlier: tuple[Model, float] | None = None) -> Model:
                 text = text.as_py()
                 for a, b in segments(text):
                     segment = text[a:b]
-                    if shared is not None and (_DAMAGED.search(segment) or _scorer(shared).best(segment)[0] > margin):
-                        continue
-                    for word in words_of(segment):
-                        counted[word] = counted.get(word, 0) + 1
-                        held += len(word)
+                    if segment not in counted:
+                        held += len(segment)
+                    counted[segment] = counted.get(segment, 0) + 1
+            if held > 5_000_000:
+                yield pa.record_batch([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], names=_SEGMENTS.names)
+                counted, held = {}, 0
+        yield pa.record_batch([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], names=_SEGMENTS.names)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given, so that small tables are still scored by all cores
+    found = docs.select("text").where(F.col("text").rlike(r"[^\x00-\x7F]")).mapInArrow(split, _SEGMENTS)
+    return persisted(found.repartition(parts, "segment").groupBy("segment").agg(F.sum("n").alias("n")), "p10-segments")
+
+
+def train(distinct: DataFrame, earlier: tuple[Model, float] | None = None) -> Model:
+    """A model of the distinct segments that don't look garbled, or of those that an earlier model and margin finds clean.
+
+    A segment that is there n times weighs 1 + log2(n), so copies of one text can't make the model.
+
+    Each task adds up its n-grams in tables of fixed size and sends the filled slots, which are summed by
+    slot; so what is shuffled and collected is bounded by the tables, not by the corpus.
+    """
+    shared = distinct.sparkSession.sparkContext.broadcast(earlier[0]) if earlier else None
+    margin = earlier[1] if earlier else 0.0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.zeros(1 << b) for b in BITS]
+        counted: dict[str, float] = {}
+        held = 0
+        for batch in batches:
+            for segment, n in zip(batch.column(0), batch.column(1), strict=True):
+                segment, weight = segment.as_py(), 1 + float(np.log2(n.as_py()))
+                if looks_garbled(segment) if shared is None else (_DAMAGED.search(segment) or _scorer(shared).best(segment)[0] > margin):
+                    continue
+                for word in words_of(segment):
+                    counted[word] = counted.get(word, 0) + weight
+                    held += len(word)
             if held > 5_000_000:
                 count_ngrams(counted, tables)
                 counted, held = {}, 0
@@ -305,7 +352,7 @@ def train(docs: DataFrame, earlier: tuple[Model, float] | None = None) -> Model:
                 part = slots[start : start + 100_000]
                 yield pa.record_batch([pa.array(np.full(len(part), k, np.int32)), pa.array(part.astype(np.int32)), pa.array(table[part])], names=_COUNTS.names)
 
-    filled = docs.select("text").where(F.col("text").rlike(r"[^\x00-\x7F]")).mapInArrow(count, _COUNTS).groupBy("part", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most the slots of the tables
+    filled = distinct.mapInArrow(count, _COUNTS).groupBy("part", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most the slots of the tables
     part, slot, n = (filled.column(k).to_numpy() for k in range(3))
     tables = [np.zeros(1 << b, np.float32) for b in BITS]
     for k, table in enumerate(tables):
@@ -348,9 +395,10 @@ def margin_of(sample: list[str], model: Model, least: float = LEAST) -> float:
 
 
 def fit(docs: DataFrame) -> tuple[Model, float]:
-    """Model and margin of a corpus: trained on all of it, then again on what the first finds clean."""
-    first = train(docs)
-    model = train(docs, (first, validated_margin(docs, first)))
+    """Model and margin of a corpus: trained on all that doesn't look garbled, then again on what the first finds clean."""
+    distinct = distinct_segments(docs)
+    first = train(distinct)
+    model = train(distinct, (first, validated_margin(docs, first)))
     return model, validated_margin(docs, model)
 
 

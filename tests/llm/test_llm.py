@@ -159,6 +159,15 @@ def test_garbled_text_is_found_and_restored(spark):
     assert garbling.inspect(docs.limit(0), model, margin).count() == 0
 
 
+def test_a_third_of_copies_of_one_garbled_text(spark):
+    """Copies of one garbled text that is nowhere clean, a third of all rows, don't pass as clean."""
+    rows, _ = corpus()
+    bad = "Der nächste Schlüssel öffnet später die übrigen Türen.".encode().decode("latin-1")
+    docs = spark.createDataFrame([*rows, *((1000 + k, bad) for k in range(300))], "doc_id long, text string").repartition(4)
+    found = {r["doc_id"] for r in garbling.inspect(docs, *garbling.fit(docs)).where("found").collect()}
+    assert found == {*range(1000, 1300)}
+
+
 def test_p10_on_empty_and_small_tables(spark):
     empty = table(spark, SMALL, "documents").select("doc_id", "text").limit(0)
     assert garbling.inspect(empty, *garbling.fit(empty)).count() == 0
