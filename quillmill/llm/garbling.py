@@ -2,8 +2,8 @@
 
 A smoothed character trigram model is trained on the clean records of the corpus itself. Every candidate
 chain, encoding back with the wrong codec and decoding with the right one, is scored by the model; the
-likeliest is accepted if it gains more than a margin that is validated on held-out clean records and on
-the same records garbled on purpose. Characters that a codec left as replacement marks can't be restored,
+likeliest is accepted if it gains more than a margin that is validated on held-out segments taken as clean
+and on the same garbled on purpose. Characters that a codec left as replacement marks can't be restored,
 but show the same.
 """
 
@@ -41,10 +41,15 @@ REMEMBERED, SHORT = 12_000, 64
 LEVELS = 3
 #: Characters that are scored together.
 PART = 100_000
-#: Documents whose segments the margin is validated on.
-VALIDATED = 1000
+#: Share of the distinct segments that is held out of the training, to validate the margin, and the distinct segments below which none are.
+HELD, FEW = 1 / 8, 2000
 #: Least margin: the log odds of the assumed share.
 LEAST = float(np.log((1 - PRIOR) / PRIOR))
+#: Width and number of the bins of gains above it; margins end at 20.
+BIN = 1 / 64
+BINS = int((20 - LEAST) / BIN) + 1
+#: Steps of how rare a segment's rarest trigram is, four to each doubling.
+RARITIES = 128
 
 _SEGMENT = re.compile(r"(?<=[.!?。！？])[ \t]+|[\r\n]+")
 _WORD = re.compile(r"[^ \t\r\n\f\v]+")
@@ -155,6 +160,9 @@ class Model:
     counts: list[np.ndarray]
     total: float
 
+    def plus(self, other: Model) -> Model:
+        return Model([a + b for a, b in zip(self.counts, other.counts, strict=True)], self.total + other.total)
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log likelihood of each text as a word."""
         result = np.zeros(len(texts))
@@ -360,46 +368,73 @@ def train(distinct: DataFrame, earlier: tuple[Model, float] | None = None) -> Mo
     return Model(tables, float(tables[4].sum()))
 
 
-def validated_margin(docs: DataFrame, model: Model, rows: int = VALIDATED, least: float = LEAST) -> float:
+_GAINS = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("rarest", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType())])
+
+
+def validated_margin(held: DataFrame, model: Model) -> float:
     """The gain beyond which a chain is accepted: where misses and false alarms, weighed by PRIOR, are fewest.
 
-    rows documents, those of the least hashes, are the held-out sample (a fixed bound whatever the corpus).
-    Of their segments the half whose rarest trigrams are the most frequent counts as clean, which keeps the
-    sample's own garbled ones out; each is scored as it is and once garbled by a random chain.
+    held: distinct segments that the model was not trained on. Those that don't look garbled are scored, whole,
+    as they are and once garbled by a chain drawn by their text. As they are, all count as clean but the
+    assumed share, PRIOR, with the rarest trigrams (in steps of RARITIES), which keeps the sample's own garbled
+    ones out. Tasks send histograms; a margin is an edge of their bins, so its cost is exact and it lies
+    within BIN of the best.
     """
-    sample = [r[0] for r in docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.substring("text", 1, 4000)).collect()]
-    return margin_of([text[a:b] for text in sample for a, b in segments(text)], model, least)
-
-
-def margin_of(sample: list[str], model: Model, least: float = LEAST) -> float:
-    scorer, pick = Scorer(model), random.Random(0)
-    rated = []
-    for segment in sample:
-        words = words_of(segment)
-        if not _DAMAGED.search(segment):
-            rated.append((min(float(model.counts[0][_slots(g)[0][0]].min()) for _, g in _parts(words)), segment))
-    rated.sort()
-    clean, garbled = [], []
-    for _, segment in rated[len(rated) // 2 :]:
-        clean.append(scorer.best(segment)[0])
-        if (bad := garble(segment, pick.randrange(len(CHAINS)))) is not None:
-            garbled.append(scorer.best(bad)[0])
-    if not clean or not garbled:
-        return 10.0
-    clean_gains, garbled_gains = np.sort(clean), np.sort(garbled)
-    margins = np.unique(np.concatenate(([least], np.clip(np.concatenate((clean_gains, garbled_gains)), least, 20))))
-    misses = np.searchsorted(garbled_gains, margins, side="right") / len(garbled_gains)
-    alarms = 1 - np.searchsorted(clean_gains, margins, side="right") / len(clean_gains)
-    cost = PRIOR * misses + (1 - PRIOR) * alarms
-    return float(margins[np.flatnonzero(cost <= cost.min() + 1e-9)[0]])
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = np.zeros((2, RARITIES, BINS + 1), np.int64)
+        scorer = _scorer(shared)
+        for batch in batches:
+            for segment in batch.column(0):
+                segment = segment.as_py()
+                if looks_garbled(segment):
+                    continue
+                rarest = min(float(scorer.model.counts[0][_slots(g)[0][0]].min()) for _, g in _parts(words_of(segment)))
+                rarest = min(RARITIES - 1, int(4 * np.log2(1 + rarest)))
+                bins[0, rarest, bin_of(scorer.best(segment)[0])] += 1
+                bad = garble(segment, random.Random(segment).randrange(len(CHAINS)))
+                if bad is not None:
+                    bins[1, rarest, bin_of(scorer.best(bad)[0])] += 1
+        at = np.nonzero(bins)
+        yield pa.record_batch([*(pa.array(x.astype(np.int32)) for x in at), pa.array(bins[at])], names=_GAINS.names)
+
+    bins = np.zeros((2, RARITIES, BINS + 1))
+    for *at, n in held.select("segment").mapInArrow(gains, _GAINS).groupBy("kind", "rarest", "bin").agg(F.sum("n")).collect():  # at most the bins
+        bins[tuple(at)] = n
+    share = np.cumsum(bins[0].sum(axis=1)) / max(1, bins[0].sum())
+    return margin_of(bins[0, int(np.searchsorted(share, PRIOR)) + 1 :].sum(axis=0), bins[1].sum(axis=0))
+
+
+def bin_of(gain: float) -> int:
+    """The least k with gain <= LEAST + k * BIN, at most BINS."""
+    return int(np.clip(np.ceil((gain - LEAST) / BIN), 0, BINS))
+
+
+def margin_of(clean: np.ndarray, garbled: np.ndarray) -> float:
+    """The best margin by histograms of gains; LEAST where nothing is known."""
+    if not clean.sum() or not garbled.sum():
+        return LEAST
+    cost = PRIOR * np.cumsum(garbled) / garbled.sum() + (1 - PRIOR) * (1 - np.cumsum(clean) / clean.sum())
+    return LEAST + BIN * int(np.flatnonzero(cost[:BINS] <= cost[:BINS].min() + 1e-9)[0])
 
 
 def fit(docs: DataFrame) -> tuple[Model, float]:
-    """Model and margin of a corpus: trained on all that doesn't look garbled, then again on what the first finds clean."""
+    """Model and margin of a corpus: trained on what doesn't look garbled, then again on what gains at most LEAST by the first.
+
+    The segments whose hash is in the lowest HELD of its range are held out of both trainings and validate the
+    margin; then their counts are added, so the model has all of the corpus. A corpus of fewer than FEW distinct
+    segments has none to spare: its margin is LEAST.
+    """
     distinct = distinct_segments(docs)
-    first = train(distinct)
-    model = train(distinct, (first, validated_margin(docs, first)))
-    return model, validated_margin(docs, model)
+    if distinct.count() < FEW:
+        return train(distinct, (train(distinct), LEAST)), LEAST
+    low = F.xxhash64("segment") < int(-(2**63) + 2**64 * HELD)
+    rest, held = distinct.where(~low), distinct.where(low)
+    first = train(rest)
+    model = train(rest, (first, LEAST))
+    margin = validated_margin(held, model)
+    return model.plus(train(held, (first.plus(train(held)), LEAST))), margin
 
 
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("found", T.BooleanType()), T.StructField("restored", T.StringType())])

@@ -168,6 +168,30 @@ def test_a_third_of_copies_of_one_garbled_text(spark):
     assert found == {*range(1000, 1300)}
 
 
+def test_margin_from_segments_held_out_whole(spark, monkeypatch):
+    """The margin is from whole segments that no training saw, of all documents."""
+    rng = random.Random(5)
+    words = sorted({w.strip(".。") for s in SENTENCES for w in s.split()})
+    docs = spark.createDataFrame([(k, "x" * 5000 + " " + " ".join(rng.choice(words) for _ in range(9)) + f" é{k}.") for k in range(2500)], "doc_id long, text string")
+    trained, held = [], []
+    train, margin = garbling.train, garbling.validated_margin
+    monkeypatch.setattr(garbling, "train", lambda df, *more: trained.append({r[0] for r in df.select("segment").collect()}) or train(df, *more))
+    monkeypatch.setattr(garbling, "validated_margin", lambda df, model: held.append({r[0] for r in df.select("segment").collect()}) or margin(df, model))
+    garbling.fit(docs)
+    whole = {r[1] for r in docs.collect()}
+    assert len(held) == 1 and all(not t & held[0] and t | held[0] == whole for t in trained[:2])
+    assert trained[2:] == held * 2  # only added when the margin is there
+    assert 200 < len(held[0]) < 420
+
+
+def test_margin_by_histogram():
+    clean, garbled = [0.0] * 95 + [4.0] * 3 + [6.0] * 2, [5.0] * 10 + [30.0] * 90
+    bins = [[sum(garbling.bin_of(g) == k for g in gains) for k in range(garbling.BINS + 1)] for gains in (clean, garbled)]
+    found = garbling.margin_of(*map(garbling.np.array, bins))
+    cost = lambda m: garbling.PRIOR * sum(g <= m for g in garbled) / 100 + (1 - garbling.PRIOR) * sum(g > m for g in clean) / 100
+    assert cost(found) <= min(map(cost, [garbling.LEAST, *clean, *garbled])) + 1e-9 and 6 <= found < 6 + garbling.BIN
+
+
 def test_p10_on_empty_and_small_tables(spark):
     empty = table(spark, SMALL, "documents").select("doc_id", "text").limit(0)
     assert garbling.inspect(empty, *garbling.fit(empty)).count() == 0
