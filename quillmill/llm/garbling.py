@@ -330,7 +330,7 @@ def distinct_segments(docs: DataFrame) -> DataFrame:
 def train(distinct: DataFrame, earlier: tuple[Model, float] | None = None) -> Model:
     """A model of the distinct segments that don't look garbled, or of those that an earlier model and margin finds clean.
 
-    A segment that is there n times weighs 1 + log2(n), so copies of one text can't make the model.
+    A segment that is there n times weighs the root of n, so copies of one text can't make the model.
 
     Each task adds up its n-grams in tables of fixed size and sends the filled slots, which are summed by
     slot; so what is shuffled and collected is bounded by the tables, not by the corpus.
@@ -344,7 +344,7 @@ def train(distinct: DataFrame, earlier: tuple[Model, float] | None = None) -> Mo
         held = 0
         for batch in batches:
             for segment, n in zip(batch.column(0), batch.column(1), strict=True):
-                segment, weight = segment.as_py(), 1 + float(np.log2(n.as_py()))
+                segment, weight = segment.as_py(), n.as_py() ** 0.5
                 if looks_garbled(segment) if shared is None else (_DAMAGED.search(segment) or _scorer(shared).best(segment)[0] > margin):
                     continue
                 for word in words_of(segment):
