@@ -3,7 +3,8 @@
 A value is reduced to a mask in which every digit is 9, every capital A and every small letter a. Each
 distinct mask is compiled once in a worker to the positions of its fields; all values of a mask, having
 the same length, are then converted together as a matrix of characters. Local times go through tables of
-zone transitions that carry the version of the zone data they come from.
+zone transitions of one version of the zone data, the driver's: a worker with other data fails. Years are
+not bounded: after the listed transitions the rules in force repeat with the calendar.
 
 Defined results: null, empty, unreadable and impossible values (month 13, local times skipped by a clock
 change, unknown zones, local times of a machine without zone, dates without a time) give null. A local
@@ -37,8 +38,10 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 #: Seconds since 1970 between which plain numbers lie, 2020 up to 2030.
 NUMBER_FROM, NUMBER_TO = 1_577_836_800, 1_893_456_000
-#: No writing of the grammar is longer.
-LONGEST = 96
+#: Seconds between which a zone's transitions are listed at first, 1970 up to 2040, and those of the whole table, 1800 up to 2500.
+NEAR, WHOLE = (0, 2_208_988_800), (-5_364_662_400, 16_725_225_600)
+#: Seconds of the 400 years after which the calendar, and so the rules in force since 2100, repeat.
+CYCLE = 146_097 * 86_400
 
 _SHAPE = str.maketrans("0123456789" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "abcdefghijklmnopqrstuvwxyz", "9" * 10 + "A" * 26 + "a" * 26)
 _TIME = r"(?P<h>9{1,2}):(?P<m>99)(?::(?P<s>99)(?:[.,](?P<f>9{1,9}))?)?(?P<tail>.*)"
@@ -65,19 +68,34 @@ def plan_of(mask: str):
     return None
 
 
+@lru_cache(1)
 def zone_version() -> str:
-    """Version of the zone data the transition tables are made from."""
+    """Version of the zone data that this machine's transition tables are made from."""
+    for folder in zoneinfo.TZPATH:
+        for name, pattern in (("tzdata.zi", r"# version (\S+)"), ("+VERSION", r"(\S+)")):
+            try:
+                with open(f"{folder}/{name}", encoding="utf-8") as file:
+                    if m := re.match(pattern, file.readline()):
+                        return m[1]
+            except OSError:
+                continue
     try:
         import tzdata
 
         return tzdata.IANA_VERSION
     except ImportError:
-        return "system"
+        return "unknown"
 
 
 @lru_cache(1024)
-def zone_table(name: str, version: str):
-    """(instants of change, offsets from each on) in seconds over 1970 to 2040, or None for an unknown zone."""
+def zone_table(name: str, version: str, bounds: tuple[int, int] = NEAR):
+    """(instants of change, offsets from each on) in seconds within bounds, or None for an unknown zone.
+
+    version: that of the zone data the caller works with; a machine with other data is an error, as its
+    tables would give other instants.
+    """
+    if version != zone_version():
+        raise RuntimeError(f"zone data of version {zone_version()}, not {version}")
     try:
         zone = zoneinfo.ZoneInfo(name)
     except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
@@ -86,8 +104,8 @@ def zone_table(name: str, version: str):
     def offset(t: int) -> int:
         return int(datetime.fromtimestamp(t, UTC).astimezone(zone).utcoffset().total_seconds())
 
-    at, step, end = 0, 7 * 86_400, 2_208_988_800
-    times, offsets = [-(2**40)], [offset(0)]
+    at, step, end = bounds[0], 7 * 86_400, bounds[1]
+    times, offsets = [-(2**40)], [offset(at)]
     while at < end:
         if (later := offset(at + step)) != offsets[-1]:
             low, high = at, at + step
@@ -114,6 +132,26 @@ def from_local(local, fraction, received, table):
     return chosen, ok_before | ok_after
 
 
+def from_zone(local, fraction, received, name, version):
+    """from_local by the zone's tables of any year, or None for an unknown zone.
+
+    Values within NEAR take its short table. Others take the whole one, years from 2500 on by the year as
+    many times 400 years earlier that lies in it, as rules repeat with the calendar.
+    """
+    if (table := zone_table(name, version)) is None:
+        return None
+    far = (local < NEAR[0] + 86_400 * 2) | (local >= NEAR[1] - 86_400 * 2)
+    if not far.any():
+        return from_local(local, fraction, received, table)
+    seconds, there = np.zeros(len(local), np.int64), np.zeros(len(local), bool)
+    for part, known in ((~far, table), (far, zone_table(name, version, WHOLE))):
+        back = np.maximum(0, -((WHOLE[1] - 86_400 * 400 - local[part]) // CYCLE)) * CYCLE if known is not table else 0
+        # The time of receipt only matters near it, so a shift of both by the same span changes nothing.
+        at, ok = from_local(local[part] - back, fraction[part], received[part] - back * 1_000_000, known)
+        seconds[part], there[part] = at + back, ok
+    return seconds, there
+
+
 @lru_cache(4096)
 def _tail_of(tail: str):
     """(half of the day, offset in seconds or None, zone name or None), or None for another text."""
@@ -158,9 +196,11 @@ def _days(y, m, d):
     return first + d - 1, ok & (d >= 1) & (d <= following - first)
 
 
-def _convert_shape(kind, spans, texts, zones, received):
+def _convert_shape(kind, spans, texts, zones, received, version):
     """Microseconds UTC of texts of one mask, and a mask of the good ones."""
-    chars = np.array(texts, dtype=f"U{len(texts[0])}").view(np.uint32).reshape(len(texts), -1)
+    # Fields stand before the tail, which may be of any length.
+    fields = spans["tail"][0] if "tail" in spans else len(texts[0])
+    chars = np.array([t[:fields] for t in texts], dtype=f"U{fields}").view(np.uint32).reshape(len(texts), -1)
     good = np.ones(len(texts), bool)
     if kind == "number":
         a, (start, end) = np.zeros(len(texts), np.uint64), spans["a"]
@@ -192,7 +232,6 @@ def _convert_shape(kind, spans, texts, zones, received):
     result = np.zeros(len(texts), np.int64)
     tails = np.array([t[spans["tail"][0] :] for t in texts], object)
     codes, distinct = pd.factorize(tails)
-    version = zone_version()
     for k, tail in enumerate(distinct):
         at = np.flatnonzero(codes == k)
         known = _tail_of(tail)
@@ -216,20 +255,21 @@ def _convert_shape(kind, spans, texts, zones, received):
         for j, zone in enumerate(zone_names):
             part = zone_codes == j
             here = at[part]
-            if (table := zone_table(zone, version)) is None:
+            if (found := from_zone(local[part], fraction[here], received[here], zone, version)) is None:
                 good[here] = False
                 continue
-            result[here], there = from_local(local[part], fraction[here], received[here], table)
-            good[here] &= there
+            result[here] = found[0]
+            good[here] &= found[1]
     return result * 1_000_000 + fraction, good
 
 
-def convert(values: pd.Series, zones: pd.Series, received: pd.Series) -> pd.Series:
-    """Microseconds UTC of each value, or null."""
+def convert(values: pd.Series, zones: pd.Series, received: pd.Series, version: str | None = None) -> pd.Series:
+    """Microseconds UTC of each value, or null; version: of the zone data, this machine's if not given."""
+    version = version or zone_version()
     result = np.zeros(len(values), np.int64)
     good = np.zeros(len(values), bool)
     texts = [v.strip() if isinstance(v, str) else None for v in values]
-    masks = np.array([t.translate(_SHAPE) if t and len(t) <= LONGEST and t.isascii() else None for t in texts] or [None], object)[: len(texts)]
+    masks = np.array([t.translate(_SHAPE) if t and t.isascii() else None for t in texts] or [None], object)[: len(texts)]
     codes, distinct = pd.factorize(masks)
     order = np.argsort(codes, kind="stable")
     starts = np.searchsorted(codes[order], np.arange(len(distinct) + 1))
@@ -240,13 +280,18 @@ def convert(values: pd.Series, zones: pd.Series, received: pd.Series) -> pd.Seri
         plan = plan_of(mask)
         if plan:
             at = order[starts[k] : starts[k + 1]]
-            result[at], good[at] = _convert_shape(*plan, list(texts[at]), zones[at], received[at])
+            result[at], good[at] = _convert_shape(*plan, list(texts[at]), zones[at], received[at], version)
     return pd.Series(pd.array(result, dtype="Int64")).where(pd.Series(good), pd.NA)
 
 
-@pandas_udf(LongType())
-def _utc_millis(values: pd.Series, zones: pd.Series, received: pd.Series) -> pd.Series:
-    return convert(values, zones, received) // 1000
+def _utc_millis(version: str):
+    """A UDF that works by the zone data of this version, that of the driver, on all workers."""
+
+    @pandas_udf(LongType())
+    def utc(values: pd.Series, zones: pd.Series, received: pd.Series) -> pd.Series:
+        return convert(values, zones, received, version) // 1000
+
+    return utc
 
 
 def utc_millis(value: Column, zone: Column, received: Column) -> Column:
@@ -255,10 +300,10 @@ def utc_millis(value: Column, zone: Column, received: Column) -> Column:
     Values in canonical form are read by the JVM and never reach Python.
     """
     plain = value.rlike(CANONICAL)
-    other = _utc_millis(F.when(~plain, value), F.when(~plain, zone), F.when(~plain, F.unix_micros(received.cast("timestamp"))))
+    other = _utc_millis(zone_version())(F.when(~plain, value), F.when(~plain, zone), F.when(~plain, F.unix_micros(received.cast("timestamp"))))
     return F.when(plain, F.unix_millis(F.try_to_timestamp(value))).otherwise(other)
 
 
 def odd_utc_millis(value: Column, zone: Column, received: Column) -> Column:
     """utc_millis for values that are known not to be in canonical form."""
-    return _utc_millis(value, zone, F.unix_micros(received.cast("timestamp")))
+    return _utc_millis(zone_version())(value, zone, F.unix_micros(received.cast("timestamp")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.instants import CANONICAL, odd_utc_millis, utc_millis
+from quillmill.functions.instants import CANONICAL, odd_utc_millis, utc_millis, zone_version
 
 
 def machine_settings(commands: DataFrame) -> DataFrame:
@@ -16,14 +16,15 @@ def machine_settings(commands: DataFrame) -> DataFrame:
     return commands.where("machine_id is not null").groupBy(F.col("machine_id").alias("_machine")).agg(F.min("timezone").alias("_zone"), F.min("blocks.sessionLength").alias("_hours"))
 
 
-def with_instants(df: DataFrame, settings: DataFrame, column: str, out: str = "utc_ms") -> DataFrame:
-    """Add milliseconds UTC of a time column; needs machine_id and received_at.
+def with_instants(df: DataFrame, settings: DataFrame, column: str, out: str = "utc_ms", version: str | None = None) -> DataFrame:
+    """Add milliseconds UTC of a time column; needs machine_id and received_at. version: a column for the version of the zone data.
 
     Rows are never dropped: values that name no instant, null and empty ones get null. A machine without
     settings has no zone, so its local times name no instant. Other columns pass unchanged.
     """
     joined = df.join(settings.select("_machine", "_zone"), F.col("machine_id") == F.col("_machine"), "left")
-    return joined.withColumn(out, utc_millis(F.col(column), F.col("_zone"), F.col("received_at"))).drop("_machine", "_zone")
+    timed = joined.withColumn(out, utc_millis(F.col(column), F.col("_zone"), F.col("received_at"))).drop("_machine", "_zone")
+    return timed.withColumn(version, F.lit(zone_version())) if version else timed
 
 
 def odd_instants(tables: dict[str, tuple[DataFrame, str]], settings: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from quillmill.functions.grammar import Fault, Number, records
 
 FIELDS = ["sessionId", "timestamp", "requestId", "messageId", "model", "project", "input_tokens", "output_tokens", "costUSD"]
 SCHEMA = T.StructType(
-    [T.StructField("line_id", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("detail", T.StringType())]
+    [T.StructField("line_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("reason", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("detail", T.StringType())]
     + [T.StructField(f, T.StringType()) for f in FIELDS[:6]]
     + [T.StructField(f, T.LongType()) for f in FIELDS[6:8]]
     + [T.StructField("costUSD", T.DoubleType())]
@@ -33,9 +33,9 @@ class Refused(ValueError):
 
 
 def _count(raw: Any, name: str, number: type) -> int:
-    if not isinstance(raw, number) or not _WHOLE.fullmatch(raw) or int(raw) > _LARGEST:
+    if not isinstance(raw, number) or not _WHOLE.fullmatch(raw) or len(digits := raw.lstrip("0") or "0") > 19 or int(digits) > _LARGEST:
         raise Refused("value", name)
-    return int(raw)
+    return int(digits)
 
 
 def _cost(raw: Any, number: type) -> float | None:
@@ -86,7 +86,7 @@ def load_text(text: str | None, fmt: str | None) -> Iterator[list]:
     if text is None or fmt not in ("csv", "jsonl"):
         yield ["syntax", 0, "no text or unknown format", *none]
         return
-    for item in records(text, fmt, _anchor(fmt)):
+    for item in records(text, fmt, _anchor(fmt), len(FIELDS)):
         if isinstance(item, Fault):
             yield ["syntax", item.at, item.what, *none]
             continue
@@ -96,26 +96,33 @@ def load_text(text: str | None, fmt: str | None) -> Iterator[list]:
             yield [error.reason, item.start, str(error), *none]
 
 
-def load_record(text: str | None, fmt: str | None) -> list:
-    """The same of a text that must be one record; more than one is a syntax error where the second starts."""
-    first, *others = load_text(text, fmt)
-    if others and first[0] != "syntax":
-        return ["syntax", others[0][1], "more than one record", *[None] * len(FIELDS)]
-    return first
+def load_record(text: str | None, fmt: str | None) -> list[list]:
+    """The verdict on a text that must be one record, then, if it is more, what it consists of.
 
+    More than one record is a syntax error where the second starts. Of a text that isn't one record, all
+    records that can be read, resumed at after its faults, and all errors follow the verdict in order.
+    """
+    items = list(load_text(text, fmt))
+    if len(items) == 1:
+        return items
+    first = items[0] if items[0][0] == "syntax" else ["syntax", items[1][1], "more than one record", *[None] * len(FIELDS)]
+    return [first, *items]
 
-def load_lines(lines: DataFrame) -> DataFrame:
-    """line_id, reason (null for rows that load), position and detail of the error, and the typed fields.
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """line_id, part, reason, position and detail of the error, and the typed fields.
 
     lines: line_id, fmt (csv or jsonl) and line, one record each, in which a quoted field may break lines.
-    reason is the first that holds of syntax, shape and value. Defined results: a null line or an unknown
-    format is a syntax error, an empty csv line has one field (shape), an empty jsonl line is a syntax
-    error, JSON nested deeper than 400 levels is a syntax error; of repeated JSON members the last counts.
+    Part 0 is the verdict on the line: reason is null for one that loads, else the first that holds of
+    syntax, shape and value. Lines that aren't one record have further parts, the records recovered from
+    them and the errors between those. Defined results: a null line or an unknown format is a syntax error,
+    an empty csv line has one field (shape), an empty jsonl line is a syntax error; JSON may be nested to
+    any depth, of repeated members the last counts.
     """
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [[i, *load_record(line, fmt)] for i, fmt, line in zip(batch["line_id"], batch["fmt"], batch["line"], strict=True)]
+            rows = [[i, part, *item] for i, fmt, line in zip(batch["line_id"], batch["fmt"], batch["line"], strict=True) for part, item in enumerate(load_record(line, fmt))]
             frame = pd.DataFrame(rows, columns=SCHEMA.names, dtype=object)
             for name in ("input_tokens", "output_tokens"):
                 frame[name] = frame[name].astype("Int64")
@@ -124,5 +131,15 @@ def load_lines(lines: DataFrame) -> DataFrame:
     return lines.select("line_id", "fmt", "line").mapInPandas(load, SCHEMA)
 
 
+def load_lines(lines: DataFrame) -> DataFrame:
+    """One row a line, loaded or with its reason."""
+    return parsed(lines).where("part = 0").drop("part")
+
+
 def refused(lines: DataFrame) -> DataFrame:
     return load_lines(lines).where(F.col("reason").isNotNull()).select("line_id", "reason", "at", "detail")
+
+
+def recovered(lines: DataFrame) -> DataFrame:
+    """The records that could be read within refused lines, with their positions."""
+    return parsed(lines).where("part > 0 and reason is null").drop("reason", "detail")

@@ -60,22 +60,45 @@ def _counted(tables: dict[str, DataFrame], tab: str, member: str, names: list[st
     for name in names:
         if name in tables and member in tables[name].columns:
             t = tables[name]
-            values = [F.col(f"`{c}`") for c in (f"{member}.intValue", member) if c in t.columns]
+            values = [F.col(f"`{c}`").cast("string") for c in (f"{member}.intValue", member) if c in t.columns]
             parts.append(t.where((F.size("path") <= 2) & F.coalesce(*values).rlike(WHOLE)).select(F.lit(tab).alias("tab"), F.col("key").alias("row_id"), F.col("path")[0].alias("pos"), F.coalesce(F.get("path", F.lit(1)), F.lit(-1)).alias("sub_pos")))
     return parts
 
 
+def _chat_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The chat records by the graph of their type; Catalyst reads only the members that are asked for."""
+    usage = F.struct(F.col("message.usage.iterations").alias("iterations"))
+    return inlining.inline_column(table(spark, d, "chat").select("row_id", usage.alias("usage")), "row_id", "usage")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    chat = inlining.inline_array(table(spark, d, "chat").select("row_id", F.col("message.usage.iterations").alias("iterations")), "row_id", "iterations")
-    found = chat.where("cache_creation_input_tokens >= 0").select(F.lit("chat").alias("tab"), F.col("key").alias("row_id"), F.col("path")[0].alias("pos"), F.lit(-1).alias("sub_pos"))
     trace = inlining.inline_json(table(spark, d, "trace"), "row_id", "attributes")
     steps = [n for n in trace if n.rpartition("/")[0] == "" and (n == "steps" or n.endswith(".steps"))]
     calls = [n for n in trace if n.rpartition("/")[0] in steps and (n.rpartition("/")[2] == "calls" or n.endswith(".calls"))]
     status = inlining.inline_json(table(spark, d, "statusline"), "row_id", "payload")
-    for part in [*_counted(trace, "trace", "gen_ai.usage.input_tokens", steps + calls), *_counted(status, "statusline", "context_window.total_input_tokens", ["subagents"])]:
+    parts = _counted(_chat_tables(spark, d), "chat", "cache_creation_input_tokens", ["iterations"])
+    parts += _counted(trace, "trace", "gen_ai.usage.input_tokens", steps + calls) + _counted(status, "statusline", "context_window.total_input_tokens", ["subagents"])
+    found = parts[0]
+    for part in parts[1:]:
         found = found.unionByName(part)
     return found
 
+
+def p3_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Inner subagents with what their links lead to: the name of the outer one and the model of the record."""
+    tables = inlining.inline_json(table(spark, d, "statusline"), "row_id", "payload")
+    agents, root = tables["subagents"], tables[""].select("key", F.col("`model.id`").alias("model_id"))
+    outer = agents.select("key", F.col("path").alias("parent_path"), F.col("name").alias("outer_name"))
+    linked = agents.where("level = 2").join(outer, ["key", "parent_path"], "left").join(root, "key", "left")
+    return linked.select(F.col("key").alias("row_id"), F.col("path")[0].alias("pos"), F.col("path")[1].alias("sub_pos"), "name", "outer_name", "model_id")
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    """The root table of statusline: the members of the records themselves."""
+    root = inlining.inline_json(table(spark, d, "statusline"), "row_id", "payload")[""]
+    return root.select(F.col("key").alias("row_id"), "session_id", F.col("`model.id`").alias("model_id"), F.col("`context_window.total_input_tokens`").alias("context"), F.col("`effort.level`").alias("effort"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return recovery.refused(table(spark, d, "chat_lines")).select("line_id", "reason")
 
@@ -84,6 +107,10 @@ def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
     return recovery.load_lines(table(spark, d, "chat_lines")).where("reason is null").drop("reason", "at", "detail")
 
 
+def p4_recovered(spark: SparkSession, d: str) -> DataFrame:
+    return recovery.recovered(table(spark, d, "chat_lines"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "store_rows"))[0]
 
@@ -95,7 +122,7 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_loaded, p5_found, p5_unified, p6_found, p6_kept, p7_found, p7_sessions)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_linked, p3_records, p4_found, p4_loaded, p4_recovered, p5_found, p5_unified, p6_found, p6_kept, p7_found, p7_sessions)}
 
 
 _COPIES = f"""with c as (select row_id, message.id as message_id, requestId, sessionId, row_number() over (partition by trim(message.id, '{redelivery.SPACES}'), trim(requestId, '{redelivery.SPACES}'), trim(sessionId, '{redelivery.SPACES}') order by row_id) as copy from chat) """
@@ -118,6 +145,10 @@ _NESTED = f"""with t as (select row_id, coalesce(json_extract(attributes, '$."ge
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _NESTED,
+        "p3_linked": f"""with u as (select row_id, payload as p, json_extract(payload, '$.subagents') as agents from statusline), {_elements("u", "agents", "subagents")}
+            select x.row_id, cast(x.pos as integer) as pos, cast(x.sub_pos as integer) as sub_pos, json_extract_string(x.e, '$.name') as name, json_extract_string(y.e, '$.name') as outer_name, json_extract_string(u.p, '$.model.id') as model_id
+            from u4 x join u4 y on x.row_id = y.row_id and x.pos = y.pos and y.sub_pos = -1 join u on u.row_id = x.row_id where x.sub_pos >= 0""",
+        "p3_records": "select row_id, json_extract_string(payload, '$.session_id') as session_id, json_extract_string(payload, '$.model.id') as model_id, json_extract_string(payload, '$.context_window.total_input_tokens') as context, json_extract_string(payload, '$.effort.level') as effort from statusline",
         "p1_found": r"""with f as (select *, regexp_replace(path, '^archived_', '') as p from log_files), k as (select file_id, string_split_regex(regexp_replace(content, '^\x{feff}', ''), '\r?\n') as lines from f
             qualify machine_id is null or path is null or row_number() over (partition by machine_id, p order by case when path like 'archived\_%' escape '\' then 1 else 0 end, file_id) = 1), l as (select file_id, unnest(lines) as line, generate_subscripts(lines, 1) as n from k)
             select file_id, cast(n as integer) as line_no from l where regexp_matches(line, '\S')""",

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from datetime import datetime
 
 import brute
@@ -97,6 +98,20 @@ def test_p2_against_brute_force(spark):
     assert set(map(tuple, P.p2_found(spark, SMALL).collect())) == expected
 
 
+@pytest.mark.parametrize(
+    ("local", "zone", "utc"),
+    [("2045-07-01 12:00:00", "Europe/Berlin", "2045-07-01T10:00:00"), ("9998-01-01 12:00:00", "Europe/Berlin", "9998-01-01T11:00:00"), ("2600-07-01 12:00:00", "America/New_York", "2600-07-01T16:00:00"), ("1944-07-01 12:00:00", "Europe/Berlin", "1944-07-01T10:00:00"), ("1850-07-01 12:00:00", "Europe/Berlin", "1850-07-01T11:06:32")],
+)
+def test_years_without_bounds(local, zone, utc):
+    found = convert(pd.Series([local, local + " " * 500]), pd.Series([zone] * 2), pd.Series([None] * 2, dtype="float"))
+    assert found.tolist() == [int(datetime.fromisoformat(utc + "+00:00").timestamp()) * 1_000_000] * 2
+
+
+def test_other_zone_data_is_an_error():
+    with pytest.raises(RuntimeError):
+        convert(pd.Series(["2025-07-01 12:00:00"]), pd.Series(["Europe/Berlin"]), pd.Series([None], dtype="float"), "1999a")
+
+
 def test_instants_keep_rows_and_clashing_columns(spark):
     df = spark.sql("select * from values ('a', '2026-10-02 10:00:00', timestamp'2026-10-02 12:00:00', 1, 2), (null, '2026-10-02T10:00:00.000Z', null, 1, 2), ('z', null, null, 1, 2) t(machine_id, at, received_at, _zone2, utc)")
     commands = spark.sql("select 'a' as machine_id, 'Asia/Tokyo' as timezone, named_struct('sessionLength', 2.0D) as blocks")
@@ -205,21 +220,22 @@ def test_p1_keeps_every_record_once(spark):
 
 def test_graph_shares_elements():
     tree = inlining.parse_variant_type("OBJECT<a: OBJECT<steps: ARRAY<OBJECT<n: BIGINT, calls: ARRAY<OBJECT<k: STRING>>>>>, `a.steps`: ARRAY<OBJECT<n: VARIANT, m: DECIMAL(3,1)>>, s: STRING>")
-    root = inlining.graph_of(tree)
+    root = inlining.graph_of(inlining.Node().add(tree))
     assert list(root.members) == ["s"] and list(root.children) == ["a.steps"]
     steps = root.children["a.steps"]
-    assert steps.places == ["$['a']['steps']", "$['a.steps']"] and steps.mixed == {"n"} and set(steps.members) == {"n", "m"} and list(steps.children) == ["calls"]
+    assert steps.places == [["a", "steps"], ["a.steps"]] and steps.types["m"] == "DECIMAL(3,1)" and set(steps.members) == {"n", "m"} and list(steps.children) == ["calls"]
 
 
 def test_inlining(spark):
     texts = ['{"u":[{"w":{"t":1}},null,{"w":null,"u":[{"w":{"t":"7"}},{"x":1}]}]}', '{"u":[]}', '{"u":null}', "{}", "broken", None, '{"u":[{"w":{"t":{"intValue":"3"}}}],"u2":1}', '{"a":1,"a":2}']
     df = spark.createDataFrame(list(enumerate(texts)), "row_id int, j string")
     tables = inlining.inline_json(df, "row_id", "j")
-    assert list(tables) == ["u"]
+    assert list(tables) == ["", "u"]
+    assert got(tables[""], "key", "u2", "a") == [(0, None, None), (1, None, None), (2, None, None), (3, None, None), (6, "1", None), (7, None, "2")]
     assert got(tables["u"], "key", "path", "parent_path", "level", "`w.t`", "`w.t.intValue`") == [
         (0, [0], [], 1, "1", None), (0, [1], [], 1, None, None), (0, [2, 0], [2], 2, "7", None), (0, [2, 1], [2], 2, None, None), (0, [2], [], 1, None, None), (6, [0], [], 1, '{"intValue":"3"}', "3"),
     ]
-    assert inlining.inline_json(df.limit(0), "row_id", "j") == {}
+    assert [t.count() for t in inlining.inline_json(df.limit(0), "row_id", "j").values()] == [0]
 
 
 def test_p3_has_no_repeated_rows(spark):
@@ -244,7 +260,31 @@ GOOD = "976571bd-b2a9-4007-ac57-c7009a2bdb17,2026-10-01T04:55:59.170Z,r,m,model,
     ],
 )
 def test_reasons(fmt, line, reason):
-    assert recovery.load_record(line, fmt)[0] == reason
+    assert recovery.load_record(line, fmt)[0][0] == reason
+
+
+def test_any_depth_and_any_number_of_digits():
+    good = '{"timestamp":"t","sessionId":"s","message":{"usage":{"input_tokens":%s,"output_tokens":2}}%s}'
+    for depth in (401, 100_000):
+        assert recovery.load_record(good % (1, ',"x":' + "[" * depth + "]" * depth), "jsonl")[0][0] is None
+    assert recovery.load_record(good % ("9" * 5000, ""), "jsonl")[0][0] == "value"
+    assert recovery.load_record(GOOD.replace(",1,", "," + "0" * 5000 + "7,"), "csv")[0][9:11] == [7, 2]
+
+
+def test_records_within_a_broken_line_are_recovered(spark):
+    good = '{"timestamp":"t","sessionId":"s","message":{"usage":{"input_tokens":1,"output_tokens":2}}}'
+    lines = [("csv", GOOD.replace("proj", '"broken') + "\n" + GOOD), ("jsonl", '{"a":[\n' + good + "\n" + good + "\n]"), ("csv", GOOD), ("jsonl", good + "\n" + good), ("jsonl", "{")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(lines)], "line_id long, fmt string, line string")
+    assert got(recovery.recovered(df), "line_id", "part", "at") == [(0, 2, lines[0][1].index("\n") + 1), (1, 2, 8), (1, 3, 9 + len(good)), (3, 1, 0), (3, 2, len(good) + 1)]
+    assert got(recovery.refused(df), "line_id", "reason") == [(0, "syntax"), (1, "syntax"), (3, "syntax"), (4, "syntax")]
+
+
+@pytest.mark.parametrize("text", ['{"a":\n' * 50_000, "[1,\n" * 50_000, '{"a":1}\n{' * 20_000])
+def test_the_search_for_anchors_is_linear(text):
+    start = time.perf_counter()
+    assert recovery.load_record(text, "jsonl")[0][0] == "syntax"
+    recovery.load_record('"x\n' + (GOOD[:37] + '"\n') * 20_000, "csv")
+    assert time.perf_counter() - start < 20
 
 
 def test_recovery_resumes_at_the_next_record():
