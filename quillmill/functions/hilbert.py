@@ -21,7 +21,3 @@ def hilbert_code(x: Column, y: Column, bits: int) -> Column:
     halves = F.array(*[F.lit(1 << k).cast("long") for k in reversed(range(bits))])
     return F.aggregate(halves, start, step, lambda s: s["d"])
 
-
-def cell(value: Column, bits: int) -> Column:
-    """Coordinate of a text: equal texts share it, null is a value too."""
-    return F.pmod(F.xxhash64(value, value.isNull()), F.lit(1 << bits).cast("long"))

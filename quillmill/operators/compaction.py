@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.hilbert import cell, hilbert_code
-from quillmill.runtime import new_path, persisted
+from quillmill.functions.hilbert import hilbert_code
+from quillmill.runtime import discard, new_path, persisted, temporary
 
-#: Bits of each of the two coordinates: at most 2^16 cells, which bounds the histogram.
+#: Bits of each of the two coordinates: at most 2^16 cells.
 BITS = 8
 #: Bytes of records in a written file.
 TARGET_BYTES = 128 << 20
@@ -30,12 +30,13 @@ def current_files(files: DataFrame) -> DataFrame:
     """The files that count: of those with one machine and path (but for a leading archived_), those not
     archived go first, then the lowest file_id. Files without machine or path have no copies.
 
-    Only ids and paths are shuffled; contents meet just the ids of the files that lose, which are few.
+    The ids of the files that lose, which are few, are found from ids and paths alone and go to a table, so
+    that Spark knows its size: below its broadcast threshold contents stay where they are.
     """
     names = files.select("file_id", "machine_id", F.regexp_replace("path", "^archived_", "").alias("_path"), F.struct(F.col("path").startswith("archived_").alias("late"), F.col("file_id").alias("id")).alias("_rank"))
     best = names.groupBy("machine_id", "_path").agg(F.min("_rank").alias("_best"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
     losers = names.join(best, ["machine_id", "_path"]).where("file_id <> _best.id").select("file_id")
-    return files.join(losers, "file_id", "left_anti")
+    return files.join(persisted(losers, "p1-losers"), "file_id", "left_anti")
 
 
 def records_of(files: DataFrame) -> DataFrame:
@@ -45,20 +46,57 @@ def records_of(files: DataFrame) -> DataFrame:
     a record. Null and empty files have none. A file is read by one task, as it is one row.
     """
     # What holds for a whole file is worked out before its lines are listed, once a file.
-    whole = files.select("file_id", "path", F.regexp_extract("content", r'"model"\s*:\s*"([^"\\]*)"', 1).alias("_model"), F.split(F.regexp_replace("content", "^\ufeff", ""), "\r?\n", -1).alias("_lines"))
+    whole = files.select("file_id", "path", F.regexp_extract("content", r'"model(?:_name)?"\s*:\s*"([^"\\]*)"', 1).alias("_model"), F.split(F.regexp_replace("content", "^﻿", ""), "\r?\n", -1).alias("_lines"))
     lines = whole.select("file_id", "path", "_model", F.posexplode("_lines").alias("_pos", "record"))
     return lines.where(F.col("record").rlike(r"(?U)\S")).select("file_id", (F.col("_pos") + 1).cast("int").alias("line_no"), "record", "path", "_model")
 
 
-def compact(files: DataFrame, target_bytes: int = TARGET_BYTES) -> Compacted:
-    """Write every record of the current files once, into files of about target_bytes each.
+def running(df: DataFrame, order: list[str], value: str, label: str) -> DataFrame:
+    """df with _before, the sum of a column over all rows earlier in the order, as a table.
 
-    Coordinates are the session and the model of a record. A first pass counts records, bytes and digests
-    of each cell of the curve: an exact histogram of at most 2^16 rows. Cumulated bytes along the curve give
-    each cell its range of files; a cell that holds a third of all rows spreads over as many files as its
-    bytes need, by a hash of the record's place. A second pass shuffles each record to its file's task,
-    which sorts by code and writes one file. The written rows are read again and must have the source's
-    count and digests, else an error is raised.
+    Rows are split by range, so that no key gathers in one task; each part is summed by itself, and the
+    sums of the parts, one number a task, give its offset.
+    """
+    spread = persisted(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), label)
+    offsets = spread.groupBy("_part").agg(F.sum(value).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = spread.withColumn("_within", within).join(F.broadcast(offsets), "_part")  # a row a task
+    return placed.withColumn("_before", F.col("_within") + F.col("_offset")).drop("_within", "_offset", "_part")
+
+
+def found_at(value: Column, sorted_values: Column, most: int) -> Column:
+    """How many of the sorted values are at most the value, by binary search; most: a bound of their number."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(sorted_values, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at))
+
+
+def ranks(entries: DataFrame, columns: list[str], size: int, bits: int = BITS) -> dict[str, Column]:
+    """For each text column its rank as a coordinate from 0 below 2^bits: cells of equal bytes in the order of its values.
+
+    The exact histogram of each column's values is cut where the cumulated bytes pass a cell; at most 2^bits
+    values a column start a cell and reach the driver.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("_which"), F.col(c).alias("_value")) for k, c in enumerate(columns)]))
+    histogram = entries.select(each.alias("_e"), "bytes").groupBy("_e._which", "_e._value").agg(F.sum("bytes").alias("bytes"))
+    cell = F.floor((F.col("_before") - F.col("_which") * size) * (1 << bits) / max(1, size))
+    starts: dict[int, list[str]] = {k: [] for k in range(len(columns))}
+    for which, _, value in running(histogram, ["_which", "_value"], "bytes", "p1-values").groupBy("_which", cell.alias("_cell")).agg(F.min("_value")).collect():
+        starts[which].append(value)
+    # The first cell's start is left out, so that ranks begin at 0.
+    return {c: found_at(F.col(c), F.lit(sorted(starts[k], key=lambda v: v.encode())[1:]).cast("array<string>"), 1 << bits) for k, c in enumerate(columns)}
+
+
+def compact(files: DataFrame, target_bytes: int = TARGET_BYTES, path: str | None = None) -> Compacted:
+    """Write every record of the current files once, into files of about target_bytes each, below a path (in the shared folder if not given).
+
+    Coordinates of a record are the ranks of its session and of its file's first model, which keep the order
+    of the texts. A first pass adds up bytes and digests by session, model and source file: the exact
+    histogram, from which come the ranks, and, cumulated along (code, session, source file), the first entry
+    of each written file. So a cell is cut along the curve: sessions stay together, and a cell, session or
+    model that holds a third of all rows spreads over as many files as its bytes need. A second pass finds
+    each record's file by the cuts of its cell (at most 2^16 cells and a cut a file, 24 bytes each, are
+    broadcast), moves it there once, and writes the files sorted. The written rows are read again and must
+    have the source's count and digests, else an error is raised.
     """
     spark = files.sparkSession
     # A generator of one row, so that the parsed keys aren't worked out again for each use of them.
@@ -66,31 +104,33 @@ def compact(files: DataFrame, target_bytes: int = TARGET_BYTES) -> Compacted:
     rows = (
         records_of(current_files(files))
         .select("*", keys)
-        .withColumn("session", F.coalesce("_keys.sessionId", "path"))
-        .withColumn("model", F.coalesce("_keys.payload.model", "_keys.message.model", "_model"))
-        .withColumn("_x", cell(F.col("session"), BITS))
-        .withColumn("_y", cell(F.col("model"), BITS))
-        .select("file_id", "line_no", "session", "model", "record", "_x", "_y")
+        .select("file_id", "line_no", F.coalesce("_keys.sessionId", "path", F.lit("")).alias("session"), F.coalesce("_keys.payload.model", "_keys.message.model", "_model").alias("model"), "record", F.coalesce("_model", F.lit("")).alias("_lead"))
     )
     size = F.octet_length("record") + 1
     mark = F.xxhash64("file_id", "line_no", "record")
-    histogram = persisted(
-        rows.groupBy("_x", "_y")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"))
-        .withColumn("code", hilbert_code(F.col("_x"), F.col("_y"), BITS)),
-        "p1-histogram",
-    )
-    n, size_all, *digest = histogram.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("sum"), F.lit(0)), F.coalesce(F.bit_xor("xor"), F.lit(0))).first()
+    digests = [F.count(F.lit(1)), F.coalesce(F.sum(mark.cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor(mark), F.lit(0))]
+    entries = persisted(rows.groupBy("session", "_lead", "file_id").agg(F.sum(size).alias("bytes"), *[d.alias(n) for d, n in zip(digests, ("n", "sum", "xor"), strict=True)]), "p1-histogram")
+    size_all, *source = entries.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("sum"), F.lit(0)), F.coalesce(F.bit_xor("xor"), F.lit(0))).first()
     count = max(1, -(-size_all // target_bytes))
-    along = Window.orderBy("code").rowsBetween(Window.unboundedPreceding, -1)  # at most 2^16 rows
-    ranges = histogram.select("_x", "_y", "code", "bytes", F.coalesce(F.sum("bytes").over(along), F.lit(0)).alias("_before"))
-    # At most 2^16 rows of 40 bytes, whatever the input: a proven bound for a broadcast.
-    placed = rows.join(F.broadcast(ranges), ["_x", "_y"])
-    place = F.pmod(F.xxhash64("line_no", "file_id"), F.lit(1 << 20).cast("long")) / (1 << 20)
-    number = F.least(F.lit(count - 1), F.floor((F.col("_before") + place * F.col("bytes")) * count / max(1, size_all))).cast("int")
-    path = new_path(spark, "p1-records")
-    placed.withColumn("_file", number).repartitionById(count, F.col("_file")).sortWithinPartitions("code", "session", "file_id", "line_no").select("file_id", "line_no", "session", "model", "record").write.parquet(path)
-    written = spark.read.parquet(path).agg(F.count(F.lit(1)), F.coalesce(F.sum(mark.cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor(mark), F.lit(0))).first()
-    if tuple(written) != (n, *digest):
-        raise RuntimeError(f"written records differ from the source: {tuple(written)} and {(n, *digest)}")
-    return Compacted(path, count, n, tuple(digest))
+    rank = ranks(entries, ["session", "_lead"], size_all)
+
+    def coded(df: DataFrame) -> DataFrame:
+        cells = df.withColumns({"_x": rank["session"], "_y": rank["_lead"]})
+        return cells.withColumns({"code": hilbert_code(F.col("_x"), F.col("_y"), BITS), "_hash": F.xxhash64("session")}).drop("_x", "_y")
+
+    along = running(coded(entries).select("code", "_hash", "file_id", "bytes"), ["code", "_hash", "file_id"], "bytes", "p1-along")
+    numbered = along.withColumn("_file", F.floor(F.col("_before") * count / max(1, size_all)).cast("int"))
+    cuts = numbered.groupBy("_file").agg(F.min(F.struct("code", "_hash", "file_id")).alias("c")).groupBy("c.code").agg(F.array_sort(F.collect_list(F.struct(F.col("c._hash").alias("h"), F.col("c.file_id").alias("f"), F.col("_file").alias("n")))).alias("_cuts"))
+    ranges = persisted(numbered.groupBy("code").agg(F.min("_file").alias("_first")).join(cuts, "code", "left"), "p1-cuts")
+    here = F.struct(F.col("_hash").alias("h"), F.col("file_id").alias("f"), F.lit(count).alias("n"))
+    number = F.coalesce(F.get("_cuts", found_at(here, F.col("_cuts"), count) - 1)["n"], F.col("_first"))
+    path = path or new_path(spark, "p1-records")
+    placed = coded(rows).join(F.broadcast(ranges), "code").withColumn("_file", number)
+    placed.repartitionById(count, F.col("_file")).sortWithinPartitions("code", "session", "file_id", "line_no").select("file_id", "line_no", "session", "model", "record").write.parquet(path)
+    temporary(spark, path)
+    written = spark.read.parquet(path).agg(*digests).first()
+    for table in (entries, ranges):
+        discard(table)
+    if tuple(written) != tuple(source):
+        raise RuntimeError(f"written records differ from the source: {tuple(written)} and {tuple(source)}")
+    return Compacted(path, count, source[0], tuple(source[1:]))

@@ -232,8 +232,8 @@ def inline(rows: DataFrame, root: Element, typed: bool = False) -> dict[str, Dat
 
     def add(parent: DataFrame, element: Element, name: str, level: int) -> None:
         if element.named:
-            listed = F.array_sort(F.map_entries(_first(F.col("_v"), element.places, "map<string,variant>")))
-            exploded = parent.select("key", F.col("path").alias("parent_path"), F.posexplode(F.transform(listed, lambda e: F.struct(e["key"].alias("name"), e["value"].alias("v")))).alias("_pos", "_e")).select("key", "parent_path", "_pos", F.col("_e.name").alias("_name"), F.col("_e.v").alias("_v"))
+            held = parent.withColumn("_v", _first(F.col("_v"), element.places, "map<string,variant>"))
+            exploded = held.select("key", F.col("path").alias("parent_path"), F.posexplode(F.transform(F.array_sort(F.map_keys("_v")), lambda k: F.struct(k.alias("name"), F.col("_v")[k].alias("v")))).alias("_pos", "_e")).select("key", "parent_path", "_pos", F.col("_e.name").alias("_name"), F.col("_e.v").alias("_v"))
         else:
             exploded = parent.select("key", F.col("path").alias("parent_path"), F.posexplode(_first(F.col("_v"), element.places, "array<variant>")).alias("_pos", "_v"))
         here = exploded.withColumn("path", F.concat("parent_path", F.array("_pos")))

@@ -28,8 +28,32 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return redelivery.repetitions(_messages(spark, d), "row_id", _message_key(), F.col("message_id").isNotNull()).select("row_id")
 
 
+#: Deliveries up to this number count as stored, later ones as new.
+STORED = 83_000
+
+
+def _flat_chat(rows: DataFrame) -> DataFrame:
+    """Chat rows with the struct's plain members as columns."""
+    u = "message.usage"
+    return rows.select(*[c for c in rows.columns if c != "message"], F.col("message.id").alias("message_id"), F.col("message.model").alias("model"), *[F.col(f"{u}.{c}").alias(c) for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "speed")], F.size(f"{u}.iterations").alias("n_iterations"))
+
+
+def _batches(spark: SparkSession, d: str) -> list[DataFrame]:
+    chat = table(spark, d, "chat")
+    return [chat.where(F.col("batch_no") <= STORED), chat.where((F.col("batch_no") > STORED) | F.col("batch_no").isNull())]
+
+
+_ROW_KEY = ["message.id", "requestId", "sessionId"]
+
+
 def p6_kept(spark: SparkSession, d: str) -> DataFrame:
-    return redelivery.exactly_once(_messages(spark, d), "row_id", _message_key(), F.col("message_id").isNotNull())
+    """Whole rows of stored and new deliveries, each message once."""
+    return _flat_chat(redelivery.exactly_once(_batches(spark, d), "row_id", [redelivery.bare(F.col(c)) for c in _ROW_KEY], F.col("message.id").isNotNull()))
+
+
+def p6_appended(spark: SparkSession, d: str) -> DataFrame:
+    """Whole rows of the new deliveries that the stored table doesn't have yet."""
+    return _flat_chat(redelivery.to_append(*_batches(spark, d), "row_id", [redelivery.bare(F.col(c)) for c in _ROW_KEY], F.col("message.id").isNotNull()))
 
 
 def chat_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -122,12 +146,15 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_linked, p3_records, p4_found, p4_loaded, p4_recovered, p5_found, p5_unified, p6_found, p6_kept, p7_found, p7_sessions)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_linked, p3_records, p4_found, p4_loaded, p4_recovered, p5_found, p5_unified, p6_found, p6_kept, p6_appended, p7_found, p7_sessions)}
 
 
 _COPIES = f"""with c as (select row_id, message.id as message_id, requestId, sessionId, row_number() over (partition by trim(message.id, '{redelivery.SPACES}'), trim(requestId, '{redelivery.SPACES}'), trim(sessionId, '{redelivery.SPACES}') order by row_id) as copy from chat) """
 
 
+_FLAT = "f as (select * exclude (message), message.id as message_id, message.model as model, message.usage.input_tokens as input_tokens, message.usage.output_tokens as output_tokens, message.usage.cache_creation_input_tokens as cache_creation_input_tokens, message.usage.cache_read_input_tokens as cache_read_input_tokens, message.usage.speed as speed, cast(len(message.usage.iterations) as integer) as n_iterations from chat)"
+
+
 def _elements(name: str, source: str, within: str) -> str:
     """CTEs of an array's elements and those within them, with both positions."""
     lists = f"{name}0 as (select row_id, json_extract({source}, '$[*]') as l from {name}), {name}1 as (select row_id, unnest(l) as e, generate_subscripts(l, 1) - 1 as pos from {name}0), {name}2 as (select row_id, pos, json_extract(e, '$.{within}[*]') as l from {name}1)"
@@ -153,5 +180,8 @@ def oracle_sql() -> dict[str, str]:
             qualify machine_id is null or path is null or row_number() over (partition by machine_id, p order by case when path like 'archived\_%' escape '\' then 1 else 0 end, file_id) = 1), l as (select file_id, unnest(lines) as line, generate_subscripts(lines, 1) as n from k)
             select file_id, cast(n as integer) as line_no from l where regexp_matches(line, '\S')""",
         "p6_found": _COPIES + "select row_id from c where copy > 1 and message_id is not null",
-        "p6_kept": _COPIES + "select row_id, message_id, requestId, sessionId from c where copy = 1 or message_id is null",
+        "p6_kept": f"{_COPIES}, {_FLAT} select f.* from f join c using (row_id) where c.copy = 1 or c.message_id is null",
+        "p6_appended": f"""{_COPIES}, {_FLAT}, n as (select *, trim(message_id, '{redelivery.SPACES}') as a, trim(requestId, '{redelivery.SPACES}') as b, trim(sessionId, '{redelivery.SPACES}') as c from f)
+            select * exclude (a, b, c) from (select * from n where batch_no > {STORED} or batch_no is null qualify message_id is null or row_number() over (partition by a, b, c order by row_id) = 1) x
+            where message_id is null or not exists (select 1 from n y where y.batch_no <= {STORED} and y.message_id is not null and x.a = y.a and x.b is not distinct from y.b and x.c is not distinct from y.c)""",
     }

@@ -62,8 +62,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def temporary(spark: SparkSession, path: str) -> str:
+    """Have what is at a path deleted when the session's JVM ends."""
+    system, where = _file_system(spark, path)
+    system.deleteOnExit(where)
+    return path
+
+
 def persisted(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder, which survives the loss of executors."""
+    """Cut the lineage with a table in the shared folder, which survives the loss of executors and goes with the session."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(temporary(df.sparkSession, path))
+    table.stored_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a persisted table that nothing needs any more."""
+    system, where = _file_system(table.sparkSession, table.stored_at)
+    system.delete(where, True)
