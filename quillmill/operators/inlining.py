@@ -214,7 +214,7 @@ def graph_of(node: Node, name: str = "") -> Element:
 LINKS = ["key", "path", "parent_path", "level"]
 
 
-def _unique(names: list[str], taken: list[str]) -> dict[str, str]:
+def unique_names(names: list[str], taken: list[str]) -> dict[str, str]:
     """Column names for members: their own, or with a number where another is the same but for capitals."""
     used, result = {t.lower() for t in taken}, {}
     for name in names:
@@ -246,7 +246,7 @@ def inline(rows: DataFrame, root: Element, typed: bool = False) -> dict[str, Dat
     tables = {}
     for name, levels in found.items():
         links = [*LINKS, *(["name"] if any(e.named for _, e, _ in levels) else [])]
-        columns = _unique([m for m in dict.fromkeys(m for _, e, _ in levels for m in e.members)], links)
+        columns = unique_names([m for m in dict.fromkeys(m for _, e, _ in levels for m in e.members)], links)
         kinds = {m: {e.types[m] for _, e, _ in levels if m in e.types} for m in columns}
         table = None
         for df, element, level in levels:

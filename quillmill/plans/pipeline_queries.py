@@ -140,9 +140,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
-    change, cell = drift.changes(table(spark, d, "store_rows"))
-    return drift.unified_rows(cell, change)
-
+    rows = table(spark, d, "store_rows")
+    return drift.unified(rows, *drift.changes(rows))
 
 
 def queries() -> dict:

@@ -379,8 +379,40 @@ def test_matching_is_the_best():
         assert sum(weights[p] for p in found) == best(olds, frozenset())
 
 
-def test_unified_names_follow_renames(spark):
-    df = store(spark, (1, 1, {"id": "a", "x": 1}), (1, 2, {"id": "a", "y": 1}), (1, 3, {"id": "a", "z": 1, "x": 7}))
-    change, cell = drift.changes(df)
-    members = {r["file_no"]: [(m["name"], m["value"]) for m in r["members"] if m["name"] != "id"] for r in drift.unified_rows(cell, change).collect()}
-    assert members == {1: [("x", "1")], 2: [("x", "1")], 3: [("x", "1"), ("x", "7")]}
+def test_contested_fields_go_by_sketch_type_and_name(spark):
+    """Fields whose shared values all agree with several others: the matching decides, and no partner is lost."""
+    df = store(
+        spark,
+        (1, 1, {"id": "a", "in_tokens": 5, "out_tokens": 5, "flag": True}), (1, 1, {"id": "b", "in_tokens": None, "out_tokens": 7, "flag": None}),
+        (1, 2, {"id": "a", "outTokens": 5, "inTokens": 5, "flag2": True, "one": 5}), (1, 2, {"id": "b", "outTokens": 7, "inTokens": None, "one": 8}),
+    )
+    change, _ = drift.changes(df)
+    assert got(change, "old_name", "new_name") == [("", "one"), ("flag", "flag2"), ("in_tokens", "inTokens"), ("out_tokens", "outTokens")]
+
+
+def test_matching_sees_every_file_pair(spark, monkeypatch):
+    solved = []
+    monkeypatch.setattr(drift, "agreeing", lambda edges, values, test=drift.agreeing: solved.append(edges.count()) or test(edges, values))
+    df = store(spark, *[(s, f, {"id": f"r{s}", f"name{f}": s, "k": 1}) for s in range(20) for f in (1, 2, 3)])
+    assert drift.changes(df)[0].count() == 40 and solved == [40]
+
+
+def test_large_sketches_lose_no_rename(spark):
+    df = store(spark, *[(1, f, {"id": f"r{k}", f"n{f}": None if k % 3 == f else k}) for k in range(300) for f in (1, 2)], *[(2, f, {"id": f"r{k}", f"n{f}": k if k < 299 else f}) for k in range(300) for f in (1, 2)])
+    assert got(drift.changes(df)[0], "stream_id", "old_name", "new_name") == [(1, "n1", "n2"), (2, "", "n2"), (2, "n1", "")]
+
+
+def test_unified_table_is_typed_and_follows_renames(spark):
+    df = store(spark, (1, 1, {"id": "a", "x": 1, "b": True}), (1, 2, {"id": "a", "y": 1, "f": 1.5, "b": False}), (1, 3, {"id": "a", "z": 1, "x": 7, "f": 2, "l": [1]}), (2, 1, {"id": 5, "X": "t"}), (2, 2, None))
+    out = drift.unified(df, *drift.changes(df))
+    assert dict(out.dtypes) == {"row_id": "bigint", "stream_id": "bigint", "file_no": "int", "X": "string", "b": "boolean", "f": "double", "id": "string", "l": "string", "x#2": "bigint", "others": "map<string,string>"}
+    assert got(out, "stream_id", "file_no", "id", "X", "`x#2`", "f", "b", "l") == [(1, 1, "a", None, 1, None, True, None), (1, 2, "a", None, 1, 1.5, False, None), (1, 3, "a", None, 1, 2.0, None, "[1]"), (2, 1, "5", "t", None, None, None, None)]
+    assert [r["others"] for r in out.where("file_no = 3").collect()] == [{"x": "7"}]
+    assert drift.unified(df.limit(0), *drift.changes(df.limit(0))).count() == 0
+
+
+def test_long_chains_of_renames(spark):
+    df = store(spark, *[(1, f, {"id": "a", f"n{f}": 1}) for f in range(1, 12)])
+    assert got(drift.lineage(drift.changes(df)[0]), "name", "since", "until", "first_name") == sorted([(f"n{f}", f, f if f < 11 else 2**31 - 1, "n1") for f in range(2, 12)], key=str)
+
+
