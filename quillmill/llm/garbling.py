@@ -3,8 +3,12 @@
 A smoothed character trigram model is trained on the clean records of the corpus itself. Every candidate
 chain, encoding back with the wrong codec and decoding with the right one, is scored by the model; the
 likeliest is accepted if it gains more than a margin that is validated on held-out segments taken as clean
-and on the same garbled on purpose. Characters that a codec left as replacement marks can't be restored,
-but show the same.
+and on the same garbled on purpose. Characters that a codec left as replacement marks can't be restored;
+that they were lost is one more candidate, scored by the model like the others.
+
+All is decided on distinct things: documents give distinct segments, these give distinct words, and each
+distinct word is scored once a model, for all chains. The best gains of its words bound a segment's gain, so
+only the few segments whose bound passes the margin are looked at chain by chain.
 """
 
 from __future__ import annotations
@@ -29,16 +33,17 @@ SINGLE_BYTE = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "is
 MULTI_BYTE = ["cp932", "gbk", "euc_jp", "big5", "euc_kr"]
 TRUE_ONLY = ["utf-8"]
 
-#: Bits of the model's hashed tables: trigrams, their histories, bigrams, characters as histories, characters. They bound its size, 8 MB.
-BITS = (20, 18, 18, 16, 16)
+#: Bits of the model's hashed tables (trigrams, their histories, bigrams) at first; all grow by two while more than FULL of the trigrams' slots are taken, up to MOST_BITS, which bounds the model to 108 MB. Characters have a slot each.
+BITS, MOST_BITS, FULL = (20, 18, 18), 24, 1 / 8
+CHARACTERS = 0x110000
 #: Weight of the shorter history in the smoothing, and the characters that unseen ones stand for.
 BACKING, UNSEEN = 1.5, 70_000
 #: Share of garbled segments assumed when the margin weighs misses against false alarms.
 PRIOR = 0.04
-#: Words whose scores a worker remembers, and their longest length.
-REMEMBERED, SHORT = 12_000, 64
-#: Codecs on top of each other that are undone at most.
-LEVELS = 3
+#: Words whose scores a worker remembers, and their longest length: 64 MB at most.
+REMEMBERED, SHORT = 50_000, 64
+#: Words that are scored together.
+TOGETHER = 256
 #: Characters that are scored together.
 PART = 100_000
 #: Share of the distinct segments that is held out of the training, to validate the margin, and the distinct segments below which none are.
@@ -56,6 +61,7 @@ _WORD = re.compile(r"[^ \t\r\n\f\v]+")
 _DIGITS = re.compile(r"[0-9]+")
 _BEYOND = re.compile(r"[^\x00-\x7f]")
 _DAMAGED = re.compile("[\ufffd\x80-\x84\x86-\x9f]")
+MARK = "\ufffd"
 
 
 @lru_cache(64)
@@ -88,6 +94,8 @@ def from_bytes(data: bytes, codec: str) -> str | None:
 WRONG, RIGHT = SINGLE_BYTE + MULTI_BYTE, TRUE_ONLY + MULTI_BYTE + SINGLE_BYTE
 #: All chains as steps (wrong, right). Text garbled twice through UTF-8 gains only when both steps are undone.
 CHAINS = [((w, r),) for w in WRONG for r in RIGHT] + [((w, "utf-8"), (v, "utf-8")) for w in SINGLE_BYTE for v in SINGLE_BYTE]
+#: The candidate beside them: marks stand for characters that a codec lost, any of which may have been there.
+LOST = len(CHAINS)
 
 
 def segments(text: str) -> Iterator[tuple[int, int]]:
@@ -134,7 +142,7 @@ def _parts(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
         yield places, group
 
 
-def _slots(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+def _slots(texts: list[str], bits: tuple[int, int, int]) -> tuple[list[np.ndarray], np.ndarray]:
     """Slots of each character but the first two of the texts in the five tables, and the text it belongs to."""
     padded = "".join(texts)
     codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -149,96 +157,160 @@ def _slots(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     with np.errstate(over="ignore"):
         ab, bc = a * m1 + b * m2, b * m1 + c * m2
         abc = ab * m3 + c * m2
-        tables = [(x ^ (x >> np.uint64(29))) * m1 >> np.uint64(64 - bits) for x, bits in zip((abc, ab, bc), BITS, strict=False)]
-    return [t.astype(np.int64) for t in tables] + [(x & np.uint64(0xFFFF)).astype(np.int64) for x in (b, c)], owner[at]
+        tables = [(x ^ (x >> np.uint64(29))) * m1 >> np.uint64(64 - n) for x, n in zip((abc, ab, bc), bits, strict=True)]
+    return [t.astype(np.int64) for t in (*tables, b, c)], owner[at]
+
+
+def _empty(bits: tuple[int, int, int], kind=np.float64) -> list[np.ndarray]:
+    return [np.zeros(n, kind) for n in (*(1 << b for b in bits), CHARACTERS, CHARACTERS)]
 
 
 @dataclass
 class Model:
-    """Counts in the five tables and the number of characters."""
+    """Counts in the five tables, the number of characters, and the bits of the hashed ones."""
 
     counts: list[np.ndarray]
     total: float
+    bits: tuple[int, int, int] = BITS
 
     def plus(self, other: Model) -> Model:
-        return Model([a + b for a, b in zip(self.counts, other.counts, strict=True)], self.total + other.total)
+        return Model([a + b for a, b in zip(self.counts, other.counts, strict=True)], self.total + other.total, self.bits)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Log likelihood of each text as a word."""
-        result = np.zeros(len(texts))
+    def fill(self) -> float:
+        """Share of the trigrams' slots in use, which is about the chance that a new trigram meets another's count."""
+        return float((self.counts[0] > 0).mean())
+
+    def logs(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, owner, characters, log probabilities) of groups of texts."""
         c3, ch2, c2, ch1, c1 = self.counts
         for places, group in _parts(texts):
-            (s3, h2, s2, h1, s1), owner = _slots(group)
+            (s3, h2, s2, h1, s1), owner = _slots(group, self.bits)
             p1 = (c1[s1] + 0.5) / (self.total + 0.5 * UNSEEN)
             p2 = np.minimum(1, (c2[s2] + BACKING * p1) / (ch1[h1] + BACKING))
             p3 = np.minimum(1, (c3[s3] + BACKING * p2) / (ch2[h2] + BACKING))
-            result += np.bincount(np.array(places)[owner], np.log(p3), len(texts))
+            yield places, owner, s1, np.log(p3)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Log likelihood of each text as a word."""
+        result = np.zeros(len(texts))
+        for places, owner, _, logs in self.logs(texts):
+            result += np.bincount(np.array(places)[owner], logs, len(texts))
         return result
 
+    def rarest(self, texts: list[str]) -> np.ndarray:
+        """Least count of a trigram in each text."""
+        result = np.full(len(texts), np.inf)
+        for places, group in _parts(texts):
+            slots, owner = _slots(group, self.bits)
+            np.minimum.at(result, np.array(places)[owner], self.counts[0][slots[0]])
+        return result
 
-def count_ngrams(counted: dict[str, float], into: list[np.ndarray]) -> None:
+    def surprise(self, texts: list[str], character: str) -> np.ndarray:
+        """What the occurrences of a character cost each text, as a positive number."""
+        result = np.zeros(len(texts))
+        for places, owner, codes, logs in self.logs(texts):
+            result -= np.bincount(np.array(places)[owner], np.where(codes == ord(character), logs, 0), len(texts))
+        return result
+
+
+def count_ngrams(counted: dict[str, float], into: list[np.ndarray], bits: tuple[int, int, int] = BITS) -> None:
     times = np.fromiter(counted.values(), np.float64, len(counted))
     for places, group in _parts(list(counted)):
-        slots, owner = _slots(group)
+        slots, owner = _slots(group, bits)
         weight = times[np.array(places)[owner]]
         for table, slot in zip(into, slots, strict=True):
             np.add.at(table, slot, weight)
 
 
+#: What the candidates add to the log likelihood of a word: numbers of those that can be applied, and gains.
+Gains = tuple[np.ndarray, np.ndarray]
+
+
+def candidates(word: str) -> tuple[list[int], list[int], list[str]]:
+    """(numbers of the chains that change a word in its context, the text of each, the distinct texts after the word itself)."""
+    left, core, right = word[:2], word[2:-2], word[-2:]
+    chains, of, seen = [], [], {word: 0}
+    for w in range(len(WRONG)):
+        if (data := to_bytes(core, WRONG[w])) is None:
+            continue
+        for t in range(len(RIGHT)):
+            if (text := from_bytes(data, RIGHT[t])) is not None and text != core:
+                chains.append(w * len(RIGHT) + t)
+                of.append(seen.setdefault(left + text + right, len(seen)))
+                if RIGHT[t] == "utf-8" and w < len(SINGLE_BYTE):
+                    for v, codec in enumerate(SINGLE_BYTE):
+                        again = to_bytes(text, codec)
+                        again = None if again is None else from_bytes(again, "utf-8")
+                        if again is not None and again != text:
+                            chains.append(len(WRONG) * len(RIGHT) + w * len(SINGLE_BYTE) + v)
+                            of.append(seen.setdefault(left + again + right, len(seen)))
+    return chains, of, list(seen)
+
+
 class Scorer:
-    """Scores of all chains for segments under one model."""
+    """Gains of all candidates for words and segments under one model."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, np.ndarray] = {}
-
-    def gains(self, word: str) -> np.ndarray:
-        """What each chain adds to the log likelihood of a word in its context; 0 where it can't be applied."""
-        if (found := self.known.get(word)) is not None:
-            return found
-        texts, chains, seen = [word], [], {word: 0}
-        left, core, right = word[:2], word[2:-2], word[-2:]
-        for w in range(len(WRONG)):
-            if (data := to_bytes(core, WRONG[w])) is None:
-                continue
-            for t in range(len(RIGHT)):
-                if (text := from_bytes(data, RIGHT[t])) is not None and text != core:
-                    chains.append((w * len(RIGHT) + t, seen.setdefault(left + text + right, len(seen))))
-                    if RIGHT[t] == "utf-8" and w < len(SINGLE_BYTE):
-                        for v, codec in enumerate(SINGLE_BYTE):
-                            again = to_bytes(text, codec)
-                            again = None if again is None else from_bytes(again, "utf-8")
-                            if again is not None and again != text:
-                                chains.append((len(WRONG) * len(RIGHT) + w * len(SINGLE_BYTE) + v, seen.setdefault(left + again + right, len(seen))))
-        texts = list(seen)
-        result = np.zeros(len(CHAINS), np.float32)
-        if chains:
-            score = self.model.scores(texts)
-            for chain, k in chains:
-                result[chain] = score[k] - score[0]
-        if len(word) <= SHORT:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = result
+        self.known: dict[str, Gains] = {}
+
+    def score(self, words: list[str]) -> list[Gains]:
+        """Gains of each word, scored together."""
+        texts, found = [], []
+        for word in words:
+            chains, of, distinct = candidates(word)
+            found.append((chains, of, len(texts)))
+            texts += distinct
+        scores = self.model.scores(texts) if texts else np.zeros(0)
+        lost = self.model.surprise(words, MARK) if any(MARK in w for w in words) else np.zeros(len(words))
+        result = []
+        for (chains, of, at), gone in zip(found, lost, strict=True):
+            gains = scores[at + np.array(of, np.int64)] - scores[at]
+            more = ([LOST], [gone]) if gone else ([], [])
+            result.append((np.array([*chains, *more[0]], np.int64), np.array([*gains, *more[1]], np.float32)))
+        return result
+
+    def gains(self, words: list[str]) -> list[Gains]:
+        """The same, with those that this worker remembers."""
+        new = list(dict.fromkeys(w for w in words if w not in self.known))
+        fresh: dict[str, Gains] = {}
+        for k in range(0, len(new), TOGETHER):
+            part = new[k : k + TOGETHER]
+            fresh |= dict(zip(part, self.score(part), strict=True))
+        if len(self.known) + len(fresh) > REMEMBERED:
+            kept = {w: self.known[w] for w in words if w in self.known}
+            self.known = {}
+            fresh |= kept
+        result = [fresh[w] if w in fresh else self.known[w] for w in words]
+        self.known |= {w: g for w, g in fresh.items() if len(w) <= SHORT}
         return result
 
+    def totals(self, segment: str) -> np.ndarray:
+        total = np.zeros(len(CHAINS) + 1)
+        for numbers, gains in self.gains(words_of(segment)):
+            total[numbers] += gains
+        return total
+
     def best(self, segment: str) -> tuple[float, int]:
-        """Gain and number of the likeliest chain of a segment."""
-        total = np.sum([self.gains(w) for w in words_of(segment)], axis=0)
+        """Gain and number of the likeliest candidate of a segment."""
+        total = self.totals(segment)
         chain = int(np.argmax(total))
         return float(total[chain]), chain
 
-    def restore(self, segment: str, margin: float) -> str | None:
-        """The segment with its chains undone, or None if none is accepted."""
+    def restore(self, segment: str, margin: float) -> tuple[str | None, bool]:
+        """(the segment with its chains undone, or None if none is accepted; whether characters in it are lost).
+
+        Chains are undone as long as one gains more than the margin. As each adds to the likelihood, none
+        can come back, so this ends.
+        """
         found = None
-        for _ in range(LEVELS):
-            if not _BEYOND.search(segment):
-                break
-            gain, chain = self.best(segment)
-            if gain <= margin:
-                break
+        while _BEYOND.search(segment):
+            total = self.totals(segment)
+            chain = int(np.argmax(total[:LOST]))
+            if total[chain] <= margin:
+                return found, bool(total[LOST] > margin)
             found = segment = apply_chain(segment, chain)
-        return found
+        return found, False
 
 
 def apply_chain(segment: str, chain: int) -> str:
@@ -279,10 +351,15 @@ def _scorer(shared) -> Scorer:
     return _SCORERS[key]
 
 
-_COUNTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("slot", T.IntegerType()), T.StructField("n", T.DoubleType())])
-
-
-_SEGMENTS = T.StructType([T.StructField("segment", T.StringType()), T.StructField("n", T.LongType())])
+@lru_cache(100_000)
+def _utf8_codecs(word: str) -> int:
+    """Bits of the wrong codecs in which a word is strict UTF-8."""
+    found = 0
+    for k, wrong in enumerate(WRONG):
+        data = to_bytes(word, wrong)
+        if data is not None and not data.isascii() and from_bytes(data, "utf-8") is not None:
+            found |= 1 << k
+    return found
 
 
 def looks_garbled(segment: str) -> bool:
@@ -292,115 +369,187 @@ def looks_garbled(segment: str) -> bool:
     """
     if _DAMAGED.search(segment):
         return True
-    words = [w for w in _WORD.findall(segment) if not w.isascii()]
-    for wrong in WRONG:
-        for word in words:
-            data = to_bytes(word, wrong)
-            if data is None or data.isascii() or from_bytes(data, "utf-8") is None:
-                break
-        else:
-            return True
-    return False
+    common = -1
+    for m in _WORD.finditer(segment):
+        if not m[0].isascii():
+            common &= _utf8_codecs(m[0])
+            if not common:
+                return False
+    return common > 0
 
 
-def distinct_segments(docs: DataFrame) -> DataFrame:
-    """segment, n: each distinct segment of the corpus and how often it is there, as a table in the shared folder."""
+_OCCURRENCES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("segment", T.StringType())])
+_SEGMENTS = T.StructType([T.StructField("segment", T.StringType()), T.StructField("n", T.LongType()), T.StructField("garbled", T.BooleanType()), T.StructField("damaged", T.BooleanType()), T.StructField("words", T.ArrayType(T.StringType()))])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: dict[str, int] = {}
-        held = 0
-        for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                for a, b in segments(text):
-                    segment = text[a:b]
-                    if segment not in counted:
-                        held += len(segment)
-                    counted[segment] = counted.get(segment, 0) + 1
-            if held > 5_000_000:
-                yield pa.record_batch([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], names=_SEGMENTS.names)
-                counted, held = {}, 0
-        yield pa.record_batch([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], names=_SEGMENTS.names)
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given, so that small tables are still scored by all cores
-    found = docs.select("text").where(F.col("text").rlike(r"[^\x00-\x7F]")).mapInArrow(split, _SEGMENTS)
-    return persisted(found.repartition(parts, "segment").groupBy("segment").agg(F.sum("n").alias("n")), "p10-segments")
+def _tasks(df: DataFrame) -> DataFrame:
+    """As many parts as the session asks for, so that small tables are still scored by all cores."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def train(distinct: DataFrame, earlier: tuple[Model, float] | None = None) -> Model:
-    """A model of the distinct segments that don't look garbled, or of those that an earlier model and margin finds clean.
+@dataclass
+class Corpus:
+    """Tables in the shared folder: docs; occurrences (doc_id, segment); segments (sid, segment, n, garbled, damaged, held); vocabulary (wid, word); pairs (sid, wid)."""
+
+    docs: DataFrame
+    occurrences: DataFrame
+    segments: DataFrame
+    vocabulary: DataFrame
+    pairs: DataFrame
+
+    @staticmethod
+    def of(docs: DataFrame) -> Corpus:
+        """docs: doc_id and text."""
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, parts = [], []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for a, b in segments(text):
+                        ids.append(doc)
+                        parts.append(text[a:b])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(parts, pa.string())], names=_OCCURRENCES.names)
+
+        def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(0).to_pylist()
+                flags = [pa.array([f(t) for t in texts], pa.bool_()) for f in (looks_garbled, lambda t: bool(_DAMAGED.search(t)))]
+                yield pa.record_batch([*batch.columns, *flags, pa.array([words_of(t) for t in texts], pa.list_(pa.string()))], names=_SEGMENTS.names)
+
+        beyond = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(r"[^\x00-\x7F]"))
+        occurrences = persisted(beyond.mapInArrow(split, _OCCURRENCES), "p10-occurrences")
+        counted = _tasks(occurrences.groupBy("segment").agg(F.count(F.lit(1)).alias("n")))
+        low = F.xxhash64("segment") < int(-(2**63) + 2**64 * HELD)
+        taken = persisted(counted.mapInArrow(take_apart, _SEGMENTS).withColumns({"sid": F.monotonically_increasing_id(), "held": low}), "p10-segments")
+        listed = taken.select("sid", F.explode("words").alias("word"))
+        vocabulary = persisted(listed.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("wid", F.monotonically_increasing_id()).select("wid", "word"), "p10-words")
+        pairs = persisted(listed.join(vocabulary, "word").select("sid", "wid"), "p10-pairs")
+        return Corpus(docs, occurrences, taken, vocabulary, pairs)
+
+
+_COUNTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("slot", T.IntegerType()), T.StructField("n", T.DoubleType())])
+
 
-    A segment that is there n times weighs the root of n, so copies of one text can't make the model.
+def train(corpus: Corpus, clean: DataFrame, bits: tuple[int, int, int] = BITS) -> Model:
+    """A model of the clean segments (sid, n).
 
-    Each task adds up its n-grams in tables of fixed size and sends the filled slots, which are summed by
-    slot; so what is shuffled and collected is bounded by the tables, not by the corpus.
+    A segment that is there n times weighs the root of n, so copies of one text can't make the model. The
+    weights are added up by distinct word, then each task adds up the n-grams of its words in tables of
+    fixed size and sends the filled slots, which are summed by slot; so what is shuffled and collected is
+    bounded by the tables, not by the corpus.
     """
-    shared = distinct.sparkSession.sparkContext.broadcast(earlier[0]) if earlier else None
-    margin = earlier[1] if earlier else 0.0
+    weights = corpus.pairs.join(clean.select("sid", F.sqrt("n").alias("w")), "sid").groupBy("wid").agg(F.sum("w").alias("w"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(1 << b) for b in BITS]
-        counted: dict[str, float] = {}
-        held = 0
+        tables = _empty(bits)
         for batch in batches:
-            for segment, n in zip(batch.column(0), batch.column(1), strict=True):
-                segment, weight = segment.as_py(), n.as_py() ** 0.5
-                if looks_garbled(segment) if shared is None else (_DAMAGED.search(segment) or _scorer(shared).best(segment)[0] > margin):
-                    continue
-                for word in words_of(segment):
-                    counted[word] = counted.get(word, 0) + weight
-                    held += len(word)
-            if held > 5_000_000:
-                count_ngrams(counted, tables)
-                counted, held = {}, 0
-        count_ngrams(counted, tables)
+            count_ngrams(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), tables, bits)
         for k, table in enumerate(tables):
             slots = np.flatnonzero(table)
             for start in range(0, len(slots), 100_000):
                 part = slots[start : start + 100_000]
                 yield pa.record_batch([pa.array(np.full(len(part), k, np.int32)), pa.array(part.astype(np.int32)), pa.array(table[part])], names=_COUNTS.names)
 
-    filled = distinct.mapInArrow(count, _COUNTS).groupBy("part", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most the slots of the tables
+    filled = corpus.vocabulary.join(weights, "wid").select("word", "w").mapInArrow(count, _COUNTS).groupBy("part", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most the slots of the tables
     part, slot, n = (filled.column(k).to_numpy() for k in range(3))
-    tables = [np.zeros(1 << b, np.float32) for b in BITS]
+    tables = _empty(bits, np.float32)
     for k, table in enumerate(tables):
         table[slot[part == k]] = n[part == k]
-    return Model(tables, float(tables[4].sum()))
+    return Model(tables, float(tables[4].sum()), bits)
+
+
+def train_to_fit(corpus: Corpus, clean: DataFrame) -> Model:
+    """train, with tables wide enough for the corpus."""
+    bits = BITS
+    while (model := train(corpus, clean, bits)).fill() > FULL and bits[0] < MOST_BITS:
+        bits = tuple(b + 2 for b in bits)
+    return model
+
+
+_BOUNDS = T.StructType([T.StructField("wid", T.LongType()), T.StructField("bound", T.FloatType())])
+_JUDGED = T.StructType([T.StructField("sid", T.LongType()), T.StructField("gain", T.DoubleType())])
+
+
+def suspects(corpus: Corpus, model, margin: float, among: DataFrame | None = None) -> DataFrame:
+    """Segments (sid, segment) whose words' best gains add up to more than the margin; no other has a candidate beyond it.
+
+    model: broadcast. among: sids to look at, all if not given. Each distinct word is scored once.
+    """
+    pairs = corpus.pairs if among is None else corpus.pairs.join(among.select("sid"), "sid", "left_semi")
+    words = corpus.vocabulary if among is None else corpus.vocabulary.join(pairs.select("wid").distinct(), "wid", "left_semi")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(model)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            highest = []
+            for k in range(0, len(texts), TOGETHER):
+                highest += [max(0.0, float(gains.max())) if len(gains) else 0.0 for _, gains in scorer.score(texts[k : k + TOGETHER])]
+            yield pa.record_batch([batch.column(0), pa.array(highest, pa.float32())], names=_BOUNDS.names)
+
+    bounds = persisted(_tasks(words).mapInArrow(bound, _BOUNDS).where("bound > 0"), "p10-bounds")
+    # A hair below the margin, as single gains are rounded.
+    sids = pairs.join(bounds, "wid").groupBy("sid").agg(F.sum("bound").alias("bound")).where(F.col("bound") > margin - 1e-3).select("sid")
+    return corpus.segments.join(sids, "sid").select("sid", "segment")
+
+
+def _near(found: DataFrame) -> DataFrame:
+    """Segments with those of alike words in one task, so that few workers score a word again."""
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, F.array_max(F.transform(F.split("segment", "[ \\t\\r\\n\\f]+"), lambda w: F.struct(F.octet_length(w) - F.length(w), w))))
+
+
+def dirty(corpus: Corpus, model: Model, margin: float, among: DataFrame | None = None) -> DataFrame:
+    """(sid, gain) of the segments with a candidate that gains more than the margin."""
+    shared = corpus.pairs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared)
+        for batch in batches:
+            gains = [scorer.best(t)[0] for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(gains, pa.float64())], names=_JUDGED.names)
+
+    return persisted(_near(suspects(corpus, shared, margin, among)).mapInArrow(judge, _JUDGED).where(F.col("gain") > margin), "p10-dirty")
 
 
 _GAINS = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("rarest", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType())])
 
 
-def validated_margin(held: DataFrame, model: Model) -> float:
+def validated_margin(corpus: Corpus, held: DataFrame, model: Model) -> float:
     """The gain beyond which a chain is accepted: where misses and false alarms, weighed by PRIOR, are fewest.
 
-    held: distinct segments that the model was not trained on. Those that don't look garbled are scored, whole,
-    as they are and once garbled by a chain drawn by their text. As they are, all count as clean but the
-    assumed share, PRIOR, with the rarest trigrams (in steps of RARITIES), which keeps the sample's own garbled
-    ones out. Tasks send histograms; a margin is an edge of their bins, so its cost is exact and it lies
-    within BIN of the best.
+    held: distinct segments (sid, segment, garbled) that the model was not trained on. Those that don't look
+    garbled are scored, whole, as they are and once garbled by a chain drawn by their text, whose undoing is
+    the least that a garbled one gains. As they are, all count as clean but the assumed share, PRIOR, with the
+    rarest trigrams (in steps of RARITIES), which keeps the sample's own garbled ones out. Tasks send
+    histograms; a margin is an edge of their bins, so its cost is exact and it lies within BIN of the best.
     """
-    shared = held.sparkSession.sparkContext.broadcast(model)
+    fair = held.where("not garbled").select("sid", "segment")
+    shared = corpus.pairs.sparkSession.sparkContext.broadcast(model)
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = np.zeros((2, RARITIES, BINS + 1), np.int64)
-        scorer = _scorer(shared)
+        known = shared.value
         for batch in batches:
-            for segment in batch.column(0):
-                segment = segment.as_py()
-                if looks_garbled(segment):
-                    continue
-                rarest = min(float(scorer.model.counts[0][_slots(g)[0][0]].min()) for _, g in _parts(words_of(segment)))
-                rarest = min(RARITIES - 1, int(4 * np.log2(1 + rarest)))
-                bins[0, rarest, bin_of(scorer.best(segment)[0])] += 1
-                bad = garble(segment, random.Random(segment).randrange(len(CHAINS)))
-                if bad is not None:
-                    bins[1, rarest, bin_of(scorer.best(bad)[0])] += 1
+            texts, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            bad = [garble(t, random.Random(t).randrange(len(CHAINS))) for t in texts]
+            listed = [(words_of(t), words_of(b) if b is not None else None) for t, b in zip(texts, bad, strict=True)]
+            words = list(dict.fromkeys(w for pair in listed for ws in pair if ws for w in ws))
+            score = dict(zip(words, known.scores(words), strict=True)) if words else {}
+            plain = list(dict.fromkeys(w for ws, _ in listed for w in ws))
+            count = dict(zip(plain, known.rarest(plain), strict=True)) if plain else {}
+            for (ws, worse), gain in zip(listed, own, strict=True):
+                rarest = min(RARITIES - 1, int(4 * np.log2(1 + min(count[w] for w in ws))))
+                bins[0, rarest, bin_of(gain)] += 1
+                if worse is not None:
+                    bins[1, rarest, bin_of(sum(score[w] for w in ws) - sum(score[w] for w in worse))] += 1
         at = np.nonzero(bins)
         yield pa.record_batch([*(pa.array(x.astype(np.int32)) for x in at), pa.array(bins[at])], names=_GAINS.names)
 
+    # A gain of at most LEAST is in the first bin, whatever it is.
+    scored = fair.join(dirty(corpus, model, LEAST, fair), "sid", "left").select("segment", F.coalesce("gain", F.lit(0.0)).alias("gain"))
     bins = np.zeros((2, RARITIES, BINS + 1))
-    for *at, n in held.select("segment").mapInArrow(gains, _GAINS).groupBy("kind", "rarest", "bin").agg(F.sum("n")).collect():  # at most the bins
+    for *at, n in _tasks(scored).mapInArrow(gains, _GAINS).groupBy("kind", "rarest", "bin").agg(F.sum("n")).collect():  # at most the bins
         bins[tuple(at)] = n
     share = np.cumsum(bins[0].sum(axis=1)) / max(1, bins[0].sum())
     return margin_of(bins[0, int(np.searchsorted(share, PRIOR)) + 1 :].sum(axis=0), bins[1].sum(axis=0))
@@ -419,50 +568,80 @@ def margin_of(clean: np.ndarray, garbled: np.ndarray) -> float:
     return LEAST + BIN * int(np.flatnonzero(cost[:BINS] <= cost[:BINS].min() + 1e-9)[0])
 
 
-def fit(docs: DataFrame) -> tuple[Model, float]:
+def fit(docs: DataFrame | Corpus) -> tuple[Model, float]:
     """Model and margin of a corpus: trained on what doesn't look garbled, then again on what gains at most LEAST by the first.
 
     The segments whose hash is in the lowest HELD of its range are held out of both trainings and validate the
-    margin; then their counts are added, so the model has all of the corpus. A corpus of fewer than FEW distinct
-    segments has none to spare: its margin is LEAST.
+    margin; then the counts of those that are clean by the first model and theirs are added, so the model has
+    all of the corpus. A corpus of fewer than FEW distinct segments has none to spare: its margin is LEAST.
     """
-    distinct = distinct_segments(docs)
-    if distinct.count() < FEW:
-        return train(distinct, (train(distinct), LEAST)), LEAST
-    low = F.xxhash64("segment") < int(-(2**63) + 2**64 * HELD)
-    rest, held = distinct.where(~low), distinct.where(low)
-    first = train(rest)
-    model = train(rest, (first, LEAST))
-    margin = validated_margin(held, model)
-    return model.plus(train(held, (first.plus(train(held)), LEAST))), margin
+    corpus = docs if isinstance(docs, Corpus) else Corpus.of(docs)
+    few = corpus.segments.count() < FEW
+    rest = corpus.segments if few else corpus.segments.where("not held")
+    first = train_to_fit(corpus, rest.where("not garbled"))
+
+    def clean(part: DataFrame, model: Model) -> DataFrame:
+        return part.where("not damaged").join(dirty(corpus, model, LEAST, None if few else part), "sid", "left_anti")
+
+    model = train(corpus, clean(rest, first), first.bits)
+    if few:
+        return model, LEAST
+    held = corpus.segments.where("held")
+    margin = validated_margin(corpus, held, model)
+    first = first.plus(train(corpus, held.where("not garbled"), first.bits))
+    return model.plus(train(corpus, clean(held, first), first.bits)), margin
 
 
-_OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("found", T.BooleanType()), T.StructField("restored", T.StringType())])
+_HITS = T.StructType([T.StructField("segment", T.StringType()), T.StructField("better", T.StringType()), T.StructField("lost", T.BooleanType())])
+_OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("found", T.BooleanType()), T.StructField("restored", T.StringType()), T.StructField("lost", T.BooleanType())])
 
 
-def inspect(docs: DataFrame, model: Model, margin: float) -> DataFrame:
-    """doc_id, found, restored of each document with text.
+def hits(corpus: Corpus, model: Model, margin: float) -> DataFrame:
+    """segment, better, lost of the distinct segments that are found: better is null where nothing could be undone."""
+    shared = corpus.pairs.sparkSession.sparkContext.broadcast(model)
 
-    found: a chain is accepted in some segment, or replacement marks show lost characters. restored: the
-    text with all accepted chains undone where something was undone, else null. Defined results: null,
-    empty and ASCII texts are not found; repeated rows are treated alike; no text is cut.
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            better, lost = zip(*(scorer.restore(t, margin) for t in texts), strict=True) if texts else ((), ())
+            safe = [b if b is None else b.encode("utf-8", "replace").decode() for b in better]
+            yield pa.record_batch([batch.column(1), pa.array(safe, pa.string()), pa.array(lost, pa.bool_())], names=_HITS.names)
+
+    return persisted(_near(suspects(corpus, shared, margin)).mapInArrow(judge, _HITS).where("better is not null or lost"), "p10-hits")
+
+
+def found_ids(corpus: Corpus, model: Model, margin: float) -> DataFrame:
+    """doc_id of each document with a segment that is found."""
+    return corpus.occurrences.join(hits(corpus, model, margin), "segment", "left_semi").select("doc_id").distinct()
+
+
+def inspect(docs: DataFrame | Corpus, model: Model, margin: float) -> DataFrame:
+    """doc_id, found, restored, lost of each document with a segment that is found.
+
+    restored: the text with all accepted chains undone where something was undone, else null. lost: whether
+    characters are lost for good in it. Defined results: null, empty and ASCII texts are not found; repeated
+    rows are treated alike; no text is cut.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    corpus = docs if isinstance(docs, Corpus) else Corpus.of(docs)
+    listed = corpus.occurrences.join(hits(corpus, model, margin), "segment").groupBy("doc_id").agg(F.collect_set(F.struct("segment", "better", "lost")).alias("hits"))  # the segments of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
         for batch in batches:
-            found, texts = [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                parts, at, undone = [], 0, False
+            found, texts, lost = [], [], []
+            for text, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                judged = {h["segment"]: h for h in known}
+                parts, at, seen, gone = [], 0, False, False
                 for a, b in segments(text):
-                    if (better := scorer.restore(text[a:b], margin)) is not None:
-                        parts += [text[at:a], better]
-                        at, undone = b, True
-                found.append(undone or "\ufffd" in text)
-                texts.append("".join([*parts, text[at:]]).encode("utf-8", "replace").decode() if undone else None)
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(found, pa.bool_()), pa.array(texts, pa.string())], names=_OUT.names)
-
-    beyond = F.col("text").rlike(r"[^\x00-\x7F]")
-    return docs.select("doc_id", "text").where(beyond).mapInArrow(run, _OUT)
+                    if (hit := judged.get(text[a:b])) is not None:
+                        seen, gone = True, gone or hit["lost"]
+                        if hit["better"] is not None:
+                            parts += [text[at:a], hit["better"]]
+                            at = b
+                found.append(seen)
+                texts.append("".join([*parts, text[at:]]) if parts else None)
+                lost.append(gone)
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.bool_()), pa.array(texts, pa.string()), pa.array(lost, pa.bool_())], names=_OUT.names)
+
+    rows = corpus.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    return rows.join(listed, "doc_id").mapInArrow(run, _OUT)

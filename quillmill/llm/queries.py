@@ -19,17 +19,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, CAPACITY)
 
 
-def _inspected(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return garbling.inspect(docs, *garbling.fit(docs)).where("found")
+def _corpus(spark: SparkSession, d: str) -> garbling.Corpus:
+    return garbling.Corpus.of(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _inspected(spark, d).select("doc_id")
+    corpus = _corpus(spark, d)
+    return garbling.found_ids(corpus, *garbling.fit(corpus))
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
-    return _inspected(spark, d).select("doc_id", "restored")
+    """The documents found, with the text restored as far as possible and whether characters in it are lost for good."""
+    corpus = _corpus(spark, d)
+    return garbling.inspect(corpus, *garbling.fit(corpus)).where("found").select("doc_id", "restored", "lost")
 
 
 def queries() -> dict:

@@ -151,7 +151,9 @@ def test_garbled_text_is_found_and_restored(spark):
     twice = SENTENCES[0].encode().decode("latin-1").encode().decode("latin-1")
     docs = spark.createDataFrame([*rows, *((k, t) for k, (t, _) in bad.items()), *extra, (2006, twice)], "doc_id long, text string").repartition(4)
     model, margin = garbling.fit(docs)
-    found = {r["doc_id"]: r["restored"] for r in garbling.inspect(docs, model, margin).where("found").collect()}
+    rows = garbling.inspect(docs, model, margin).where("found").collect()
+    found = {r["doc_id"]: r["restored"] for r in rows}
+    assert {r["doc_id"] for r in rows if r["lost"]} == {2003} and {r["doc_id"] for r in rows} == {r["doc_id"] for r in garbling.found_ids(garbling.Corpus.of(docs), model, margin).collect()}
     expected = {*bad, 2003, 2006}
     assert len(set(found) & expected) >= 0.95 * len(expected) and len(set(found) - expected) <= 1
     right = [k for k, (_, t) in bad.items() if found.get(k) == t]
@@ -175,8 +177,8 @@ def test_margin_from_segments_held_out_whole(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "x" * 5000 + " " + " ".join(rng.choice(words) for _ in range(9)) + f" é{k}.") for k in range(2500)], "doc_id long, text string")
     trained, held = [], []
     train, margin = garbling.train, garbling.validated_margin
-    monkeypatch.setattr(garbling, "train", lambda df, *more: trained.append({r[0] for r in df.select("segment").collect()}) or train(df, *more))
-    monkeypatch.setattr(garbling, "validated_margin", lambda df, model: held.append({r[0] for r in df.select("segment").collect()}) or margin(df, model))
+    monkeypatch.setattr(garbling, "train", lambda c, df, *more: trained.append({r[0] for r in df.select("segment").collect()}) or train(c, df, *more))
+    monkeypatch.setattr(garbling, "validated_margin", lambda c, df, model: held.append({r[0] for r in df.select("segment").collect()}) or margin(c, df, model))
     garbling.fit(docs)
     whole = {r[1] for r in docs.collect()}
     assert len(held) == 1 and all(not t & held[0] and t | held[0] == whole for t in trained[:2])
@@ -184,6 +186,36 @@ def test_margin_from_segments_held_out_whole(spark, monkeypatch):
     assert 200 < len(held[0]) < 420
 
 
+def test_bounds_leave_no_segment_out(spark):
+    """Segments that aren't suspects have no candidate beyond the margin, and those that are dirty are so by brute force."""
+    corpus = garbling.Corpus.of(table(spark, SMALL, "documents").select("doc_id", "text"))
+    model = garbling.train(corpus, corpus.segments.where("not garbled"))
+    scorer = garbling.Scorer(model)
+    best = {r["sid"]: scorer.best(r["segment"])[0] for r in corpus.segments.collect()}
+    for margin in (0.5, garbling.LEAST):
+        assert {r["sid"] for r in garbling.dirty(corpus, model, margin).collect()} == {k for k, g in best.items() if g > margin}
+
+
+def test_tables_grow_with_the_corpus(spark, monkeypatch):
+    corpus = garbling.Corpus.of(table(spark, SMALL, "documents").select("doc_id", "text"))
+    monkeypatch.setattr(garbling, "BITS", (10, 10, 10))
+    model = garbling.train_to_fit(corpus, corpus.segments)
+    assert model.bits[0] > 10 and model.fill() <= garbling.FULL
+    assert garbling._slots(["ab😀"], model.bits)[0][4].tolist() == [ord("😀")]
+
+
+def test_every_level_is_undone(spark):
+    rows, _ = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, margin = garbling.fit(docs)
+    text = SENTENCES[0]
+    for _ in range(5):
+        text = text.encode().decode("latin-1")
+    assert garbling.Scorer(model).restore(text, margin) == (SENTENCES[0], False)
+    assert garbling.Scorer(model).restore("Die Gr\ufffd\ufffde der Datei", margin) == (None, True)
+    assert garbling.Scorer(model).restore(SENTENCES[0], margin) == (None, False)
+
+
 def test_margin_by_histogram():
     clean, garbled = [0.0] * 95 + [4.0] * 3 + [6.0] * 2, [5.0] * 10 + [30.0] * 90
     bins = [[sum(garbling.bin_of(g) == k for g in gains) for k in range(garbling.BINS + 1)] for gains in (clean, garbled)]
