@@ -173,6 +173,17 @@ class Model:
     total: float
     bits: tuple[int, int, int] = BITS
 
+    def __getstate__(self) -> tuple:
+        """Only the filled slots are sent to workers, so a broadcast is as large as what the corpus fills."""
+        at = [np.flatnonzero(t) for t in self.counts]
+        return [(a.astype(np.int32), t[a]) for a, t in zip(at, self.counts, strict=True)], self.total, self.bits
+
+    def __setstate__(self, state: tuple) -> None:
+        filled, self.total, self.bits = state
+        self.counts = _empty(self.bits, np.float32)
+        for table, (at, n) in zip(self.counts, filled, strict=True):
+            table[at] = n
+
     def plus(self, other: Model) -> Model:
         return Model([a + b for a, b in zip(self.counts, other.counts, strict=True)], self.total + other.total, self.bits)
 
