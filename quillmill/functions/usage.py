@@ -176,8 +176,10 @@ def project_name(project: Column, aliases: dict[str, str] | None = None) -> Colu
 
 
 def limit_reset(text: Column, is_error: Column) -> Column:
-    """PRJ-10: milliseconds after the bar of a limit message, on error rows only."""
-    return F.when(is_error, F.nullif(F.regexp_extract(text, r"limit reached\|([0-9]{1,12})", 1), F.lit("")).cast("long") * 1000)
+    """PRJ-10: milliseconds of the seconds after the first bar that follows the limit message, on error rows only; null if they don't fit."""
+    digits = F.regexp_extract(text, r"(?s)Claude AI usage limit reached[^|]*\|([0-9]+)", 1)
+    seconds = F.nullif(digits, F.lit("")).try_cast("long")
+    return F.when(is_error & (seconds > 0) & (seconds <= LARGEST // 1000), seconds * 1000)
 
 
 def valid_version(version: Column) -> Column:

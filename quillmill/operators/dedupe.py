@@ -147,18 +147,23 @@ def merged_identities(rows: DataFrame, keys: list[str], maxima: list[str]) -> Da
     return components.groupBy("component").agg(*[F.max(c).alias(c) for c in maxima], F.max("ts").alias("ts"), F.max(F.when(F.col("model").isNotNull(), F.struct("ts", "model")))["model"].alias("model"), F.count(F.lit(1)).alias("merged"))
 
 
-def without_replay(child: DataFrame, parent: DataFrame, session: str, parent_of: str, order: list[str], same: list[str]) -> DataFrame:
+def without_replay(child: DataFrame, parent: DataFrame, session: str, parent_of: str, order: list[str], same: list[str], forked: str | None = None, at: str | None = None) -> DataFrame:
     """DED-15, DED-16: a child session without the leading events that repeat its parent's in order.
 
     Both sides are numbered in their session; the n-th event of the child is a replay if it and all before
-    it equal the parent's events of the same numbers. Sessions whose parent is unknown stay whole.
+    it equal the parent's events of the same numbers. forked: the child's column of the time of its fork,
+    after which nothing of the parent (at) was repeated. Sessions whose parent is unknown stay whole.
     """
     number = Window.partitionBy(session).orderBy(*order)
     ours = child.withColumn("_n", F.row_number().over(number))
-    theirs = parent.select(F.col(session).alias(parent_of), F.row_number().over(number).alias("_n"), F.struct(*same).alias("_theirs"))
-    matched = ours.join(theirs, [parent_of, "_n"], "left").withColumn("_same", F.coalesce(F.struct(*same) == F.col("_theirs"), F.lit(False)))
+    theirs = parent.select(F.col(session).alias(parent_of), F.row_number().over(number).alias("_n"), F.struct(*same).alias("_theirs"), *([F.max(at).over(number.rowsBetween(Window.unboundedPreceding, 0)).alias("_at")] if forked else []))
+    matched = ours.join(theirs, [parent_of, "_n"], "left")
+    agrees = F.struct(*same) == F.col("_theirs")
+    if forked:
+        agrees &= F.col(forked).isNull() | (F.col("_at") <= F.col(forked))
+    matched = matched.withColumn("_same", F.coalesce(agrees, F.lit(False)))
     prefix = F.min(F.col("_same").cast("int")).over(number.rowsBetween(Window.unboundedPreceding, 0))
-    return matched.withColumn("_replay", prefix == 1).where("not _replay").drop("_n", "_theirs", "_same", "_replay")
+    return matched.withColumn("_replay", prefix == 1).where("not _replay").drop("_n", "_theirs", "_same", "_replay", "_at")
 
 
 def without_burst(events: DataFrame, session: str, at_ms: str, pause_ms: int = 1000) -> DataFrame:

@@ -43,10 +43,9 @@ def usage_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def span_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Spans with dotted attributes, an export of a machine being a file."""
-    rows = _timed(spark, d, "trace", "endTime").where("attributes is not null")
-    spans = rows.select(F.col("machine_id").alias("file_path"), "type", "traceId", "name", "ts_ms", F.from_json("attributes", "map<string,string>").alias("attributes"))
-    return jsonl_agents.copilot_spans(spans)
+    """Spans with dotted or nested attributes, an export of a machine being a file."""
+    rows = _timed(spark, d, "trace", "endTime")
+    return jsonl_agents.copilot_spans(rows.select(F.col("machine_id").alias("file_path"), F.lpad(F.col("row_id").cast("string"), 20, "0").alias("ord"), "type", "traceId", "name", "ts_ms", F.try_parse_json("attributes").alias("attributes")))
 
 
 def all_entries(spark: SparkSession, d: str) -> DataFrame:

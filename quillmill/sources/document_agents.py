@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from quillmill.functions.usage import counter, iso_ms, split_cached
 from quillmill.operators.dedupe import keep_last
 from quillmill.sources.entries import entries, used, with_total
-from quillmill.sources.text import parent_name, read_documents, read_lines, stem, text
+from quillmill.sources.text import Place, parent_name, read_documents, read_lines, stem, text
 
 
-def amp(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def amp(spark: SparkSession, paths: Place) -> DataFrame:
     """SRC-15, JOIN-10: entries of Amp threads: ledger events with the cache counts of the message they point to, else messages."""
     usage = "struct<model:string,timestamp:string,inputTokens:bigint,outputTokens:bigint,cacheCreationInputTokens:bigint,cacheReadInputTokens:bigint,totalTokens:bigint>"
     schema = f"struct<id:string,messages:array<struct<role:string,messageId:bigint,model:string,timestamp:string,usage:{usage}>>,usageLedger:struct<events:array<struct<id:string,timestamp:string,model:string,tokens:struct<input:bigint,output:bigint,total:bigint>,toMessageId:bigint,credits:double>>>>"
@@ -28,7 +28,7 @@ def amp(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return used(a.unionByName(b))
 
 
-def droid(spark: SparkSession, paths: str | list[str], default_model: str = "unknown") -> DataFrame:
+def droid(spark: SparkSession, paths: Place, default_model: str = "unknown") -> DataFrame:
     """SRC-16, DED-08: one entry a session's settings file; the model may stand in the log beside it; the latest snapshot of a session counts."""
     schema = "struct<tokenUsage:struct<inputTokens:bigint,outputTokens:bigint,cacheCreationTokens:bigint,cacheReadTokens:bigint,thinkingTokens:bigint,totalTokens:bigint>,model:string,providerLock:string,providerLockTimestamp:string>"
     docs = read_documents(spark, paths, "*.settings.json").withColumn("r", F.from_json("value", schema)).where("r.tokenUsage is not null").withColumn("session", F.regexp_extract("file_path", r"([^/]+)\.settings\.json$", 1))
@@ -44,7 +44,7 @@ def _aliases(u: str, names: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.try_variant_get(F.col(u), f"$.{n}", "bigint"), F.lit(0)) for n in names])
 
 
-def codebuff(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def codebuff(spark: SparkSession, paths: Place) -> DataFrame:
     """SRC-17, DED-07: entries of chat messages, usage from the first of three places that has each count; the last copy of a message counts."""
     docs = read_documents(spark, paths, "chat-messages.json").withColumn("v", F.try_parse_json("value"))
     rows = docs.select("file_path", "modified_ms", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("pos", "m"))
@@ -90,7 +90,7 @@ def _gemini(rows: DataFrame, m: Column, session: Column, fallback: Column) -> Da
     return used(entries(rows, "gemini", ts_ms=F.coalesce(iso_ms(m["timestamp"]), fallback), session_id=session, project=F.lit("gemini"), project_path=F.lit("Gemini"), message_id=m["id"], model=text(m["model"]), **with_total(t["total"], cols, counter(t["thoughts"]) + counter(t["tool"]))))
 
 
-def gemini(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def gemini(spark: SparkSession, paths: Place) -> DataFrame:
     """SRC-26, SRC-27: entries of Gemini files: messages, one direct record, or totals by model; and of JSON lines, where a later record of an id replaces the earlier in its place."""
     message = f"struct<type:string,id:string,timestamp:string,model:string,{_TOKENS}>"
     schema = f"struct<sessionId:string,startTime:string,lastUpdated:string,timestamp:string,type:string,id:string,model:string,{_TOKENS},messages:array<{message}>,stats:struct<models:map<string,struct<{_TOKENS}>>>>"

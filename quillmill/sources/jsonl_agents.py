@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.usage import cache_creation, counter, iso_ms, limit_reset, model_label, not_empty, project_of, session_of, split_cached, valid_version
-from quillmill.operators.dedupe import by_precedence, keep_best, without_burst, without_replay
+from quillmill.operators.dedupe import after_last, by_precedence, greedy_entries, keep_best, without_burst, without_replay
+from quillmill.runtime import persisted
 from quillmill.sources.entries import entries, used, with_total
-from quillmill.sources.text import parent_name, read_lines, stem, text
+from quillmill.sources.text import Place, parent_name, read_lines, stem, strict_json, text
 
 _SPLIT = "cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>"
 _COUNTS = "input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint"
@@ -18,14 +19,15 @@ _CLAUDE = f"struct<timestamp:string,sessionId:string,version:string,requestId:st
 _NO_NULL = "id|cwd|speed|costUSD|version|sessionId|requestId|isApiErrorMessage|cache_read_input_tokens|cache_creation_input_tokens"
 
 
-def claude(spark: SparkSession, paths: str | list[str], daily: bool = False) -> DataFrame:
-    """SRC-08, SRC-09, PRJ-11, FIL-08, FIL-09: entries of Claude logs, with the advisors' own rows.
+def claude(spark: SparkSession, paths: Place, daily: bool = False) -> DataFrame:
+    """SRC-08, SRC-09, PRJ-11, FIL-08, FIL-09, DED-01 to DED-03: entries of Claude logs, with the advisors' own rows, each once.
 
     daily: nested progress records count as well. Records with a repeated member, a forbidden null, an
-    empty id, no plain version, no strict time or without whole token counts are dropped.
+    empty id, no plain version, no strict time or without whole token counts are dropped. A session is that
+    of the file; the one within a record counts for de-duplication only.
     """
     lines = read_lines(spark, paths, any_of=['"usage":{'])
-    parsed = lines.where(F.try_parse_json("value").isNotNull()).withColumn("r", F.from_json("value", _CLAUDE))
+    parsed = strict_json(lines, "value").withColumn("r", F.from_json("value", _CLAUDE))
     calls = F.regexp_replace("value", r'"iterations":\[[^\]]*\]', "")
     parsed = parsed.where(~F.col("value").rlike(rf'"(?:{_NO_NULL})"\s*:\s*null') & ~calls.rlike(r'"model"\s*:\s*null'))
     direct = F.col("r.message.usage.input_tokens").isNotNull() & F.col("r.message.usage.output_tokens").isNotNull()
@@ -48,16 +50,27 @@ def claude(spark: SparkSession, paths: str | list[str], daily: bool = False) ->
         lambda e, i: F.struct(i.alias("i"), F.concat("m.id", F.lit(":advisor:"), i.cast("string")).alias("id"), e["model"].alias("model"), e["input_tokens"].alias("a"), e["output_tokens"].alias("b"), counter(e["cache_creation_input_tokens"]).alias("c"), e["cache_read_input_tokens"].alias("d"), F.lit(None).cast("double").alias("cost")),
     )
     each = rows.withColumn("e", F.explode(F.concat(F.array(main), advisors)))
-    return entries(
-        each, "claude", keep=["ord"], ts_ms=iso_ms(F.col("timestamp")), session_id=F.coalesce("own", session_of(F.col("file_path"))), project=project_of(F.col("file_path")), project_path=project_of(F.col("file_path")), message_id=F.col("e.id"),
+    found = entries(
+        each, "claude", keep=["own", "ord"], ts_ms=iso_ms(F.col("timestamp")), session_id=session_of(F.col("file_path")), project=project_of(F.col("file_path")), project_path=project_of(F.col("file_path")), message_id=F.col("e.id"),
         request_id=F.col("requestId"), version=F.col("version"), model=model_label(F.col("e.model"), F.when(F.col("e.i") < 0, F.col("m.usage.speed"))), speed=F.col("m.usage.speed"), is_sidechain=F.coalesce("side", F.lit(False)),
         input_tokens=F.col("e.a"), output_tokens=F.col("e.b"), cache_creation_tokens=F.col("e.c"), cache_read_tokens=F.col("e.d"), stored_cost=F.col("e.cost"), limit_reset_ms=limit_reset(F.col("value"), F.col("error")),
     )
+    return once(found, daily)
+
+
+def once(found: DataFrame, daily: bool) -> DataFrame:
+    """DED-01 or DED-03 over the entries of all files, in order of their paths and lines."""
+    tokens = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_creation_tokens") + F.col("cache_read_tokens")
+    helpers = {"place_of": F.concat_ws("\0", "file_path", "ord", "message_id"), "session": F.coalesce("own", "session_id"), "tokens": tokens}
+    rows = found.withColumns(helpers).withColumnsRenamed({"ord": "line", "place_of": "ord", "ts_ms": "ts", "stored_cost": "cost"})
+    kept = greedy_entries(rows, daily).withColumnsRenamed({"ts": "ts_ms", "cost": "stored_cost", "line": "line_ord"})
+    return kept.drop("ord", "place", "session", "tokens", "own").withColumnRenamed("line_ord", "ord")
 
 
 _RAW = "input_tokens:bigint,prompt_tokens:bigint,input:bigint,cached_input_tokens:bigint,cache_read_input_tokens:bigint,cached_tokens:bigint,cache_write_input_tokens:bigint,cache_creation_input_tokens:bigint,output_tokens:bigint,completion_tokens:bigint,output:bigint,reasoning_output_tokens:bigint,reasoning_tokens:bigint,total_tokens:bigint"
 _NAMES = "model:string,model_name:string,metadata:struct<model:string>"
-_CODEX = f"struct<timestamp:string,type:string,payload:struct<type:string,id:string,forked_from_id:string,{_NAMES},thread_settings:struct<service_tier:string>,info:struct<{_NAMES},last_token_usage:struct<{_RAW}>,total_token_usage:struct<{_RAW}>>>>"
+_RESULT = f"usage:struct<{_RAW}>,timestamp:string,created_at:string,createdAt:string,{_NAMES}"
+_CODEX = f"struct<type:string,{_RESULT},data:struct<{_RESULT}>,result:struct<{_RESULT}>,response:struct<{_RESULT}>,payload:struct<type:string,id:string,timestamp:string,forked_from_id:string,{_NAMES},thread_settings:struct<service_tier:string>,info:struct<{_NAMES},last_token_usage:struct<{_RAW}>,total_token_usage:struct<{_RAW}>>>>"
 
 
 def raw_usage(u: Column) -> Column:
@@ -70,45 +83,62 @@ def raw_usage(u: Column) -> Column:
     return F.when(u.isNotNull(), F.struct(into.alias("i"), cached.alias("c"), written.alias("w"), out.alias("o"), first("reasoning_output_tokens", "reasoning_tokens").alias("r"), total.alias("t")))
 
 
-def codex(spark: SparkSession, paths: str | list[str], default_model: str = "gpt-5") -> DataFrame:
-    """SRC-10 to SRC-12, WIN-08, STATE-01, DED-15: usage events of Codex sessions, one state a file in line order.
+def codex(spark: SparkSession, paths: Place, default_model: str = "gpt-5", by_session: bool = False) -> DataFrame:
+    """SRC-10 to SRC-12, WIN-08, STATE-01, DED-04, DED-05, DED-15: usage events of Codex sessions, one state a file in line order.
 
     The model and the service tier in force are the last ones said before a line (an unknown tier clears it,
     an absent one keeps it); usage is the last turn's where the running total changed, else the total's
-    growth. Of a session in both folders the one not archived counts. A fork drops its parent's events; a
-    fork without known parent drops a dense leading burst.
+    growth. Records of runs without a session have their usage, model and time in themselves or in data,
+    result or response. Of a session in both folders the one not archived counts. A fork drops the events
+    that repeat its parent's usage up to the time of the fork; a fork without known parent drops a dense
+    leading burst. An event of one time, model and usage counts once (by_session: once a session), with the
+    service tiers merged.
     """
-    lines = read_lines(spark, paths, any_of=["turn_context", "event_msg", "session_meta"])
+    lines = read_lines(spark, paths, any_of=["turn_context", "event_msg", "session_meta", '"usage"'])
     rows = lines.withColumn("r", F.from_json("value", _CODEX)).withColumn("rel", F.regexp_extract("file_path", r"(?:archived_)?sessions/(.*?)(?:\.jsonl)?$", 1)).withColumn("home", F.regexp_extract("file_path", r"^(.*?)(?:archived_)?sessions/", 1))
-    chosen = keep_best(rows.select("home", "rel", "file_path").distinct(), [F.col("home"), F.col("rel")], [F.contains("file_path", F.lit("/archived_sessions/")), F.col("file_path")], ["file_path"])
+    chosen = keep_best(rows.select("home", "rel", "file_path").distinct(), [F.col("home"), F.col("rel")], [F.col("file_path").rlike("(^|/)archived_sessions/"), F.col("file_path")], ["file_path"])
     rows = rows.join(chosen, "file_path", "left_semi")
     p = F.col("r.payload")
     named = lambda x: text(F.coalesce(x["model"], x["model_name"], x["metadata"]["model"]))
     kind = F.when(F.col("r.type") == "event_msg", p["type"]).otherwise(F.col("r.type"))
+    places = [F.col("r"), F.col("r.data"), F.col("r.result"), F.col("r.response")]
+    within = raw_usage(F.coalesce(*[x["usage"] for x in places]))
+    alone = within.isNotNull() & ~F.coalesce(F.col("r.type").isin("event_msg", "turn_context", "session_meta"), F.lit(False))
+    kind = F.when(alone, "alone").otherwise(kind)
+    said_at = F.coalesce(*[iso_ms(x[c]) for x in places for c in ("timestamp", "created_at", "createdAt")])
     total, last = raw_usage(p["info"]["total_token_usage"]), raw_usage(p["info"]["last_token_usage"])
     counting = kind == "token_count"
     tier_said = F.when((kind == "thread_settings_applied") & p["thread_settings"]["service_tier"].isNotNull(), F.when(F.lower(p["thread_settings"]["service_tier"]).isin("fast", "priority"), "fast").when(F.lower(p["thread_settings"]["service_tier"]).isin("standard", "default"), "standard").otherwise("\0"))
-    state = rows.select("file_path", "rel", "ord", kind.alias("kind"), iso_ms(F.col("r.timestamp")).alias("ts_ms"), F.when(counting, total).alias("total"), F.when(counting, last).alias("last"), F.coalesce(named(p["info"]), named(p)).alias("own"), F.when(kind == "turn_context", named(p)).alias("said"), tier_said.alias("tier"), F.when(kind == "session_meta", p["id"]).alias("id"), F.when(kind == "session_meta", p["forked_from_id"]).alias("parent"))
+    meta = kind == "session_meta"
+    state = rows.select(
+        "file_path", "rel", "home", "ord", kind.alias("kind"), said_at.alias("ts_ms"), F.when(counting, total).alias("total"), F.when(alone, within).otherwise(F.when(counting, last)).alias("last"), F.when(alone, F.coalesce(*[named(x) for x in places])).otherwise(F.coalesce(named(p["info"]), named(p))).alias("own"),
+        F.when(kind == "turn_context", named(p)).alias("said"), tier_said.alias("tier"), F.when(meta, p["id"]).alias("id"), F.when(meta, p["forked_from_id"]).alias("parent"), F.when(meta & p["forked_from_id"].isNotNull(), F.coalesce(iso_ms(p["timestamp"]), said_at)).alias("forked_ms"),
+    )
     before = Window.partitionBy("file_path").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file_path").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("file_path")
-    state = state.withColumns({"previous": F.last("total", True).over(before), "model": F.last(F.coalesce("said", F.when(counting_col(), F.col("own"))), True).over(upto), "state": F.nullif(F.last("tier", True).over(upto), F.lit("\0")), "id": F.first("id", True).over(whole), "parent": F.first("parent", True).over(whole)})
+    once_said = {c: F.first(c, True).over(whole) for c in ("id", "parent", "forked_ms")}
+    state = state.withColumns({"previous": F.last("total", True).over(before), "model": F.last(F.coalesce("said", F.when(F.col("kind").isin("token_count", "alone"), F.col("own"))), True).over(upto), "state": F.nullif(F.last("tier", True).over(upto), F.lit("\0")), **once_said})
     less = lambda f: F.greatest(F.col(f"total.{f}") - F.coalesce(F.col(f"previous.{f}"), F.lit(0)), F.lit(0)).alias(f)
     grown = F.struct(*[less(f) for f in "icwort"])
     advanced = F.col("total").isNull() | F.col("previous").isNull() | (F.col("total") != F.col("previous"))
-    counted = state.where("kind = 'token_count' and ts_ms is not null").withColumn("u", F.coalesce(F.when(advanced, F.col("last")), F.when(F.col("total").isNotNull(), grown))).where("u is not null and u.i + u.c + u.w + u.o + u.r > 0")
-    counted = counted.withColumns({"session": F.coalesce("id", "rel"), "model": F.coalesce("own", "model", F.lit(default_model)), "seq": F.col("ord")})
+    counted = state.where("kind in ('token_count', 'alone') and ts_ms is not null").withColumn("u", F.coalesce(F.when(advanced, F.col("last")), F.when(F.col("total").isNotNull(), grown))).where("u is not null and u.i + u.c + u.w + u.o + u.r > 0")
+    counted = counted.withColumns({"session": F.coalesce("id", "rel"), "model": F.coalesce("own", "model", F.lit(default_model))})
     own = counted.where("parent is null")
     forks = counted.where("parent is not null")
-    known = forks.join(counted.select(F.col("session").alias("parent")).distinct(), "parent", "left_semi").select(*counted.columns)
-    unknown = forks.join(counted.select(F.col("session").alias("parent")).distinct(), "parent", "left_anti").select(*counted.columns)
-    kept = own.unionByName(without_replay(known, counted.drop("parent"), "session", "parent", ["ord"], ["u", "model"]).select(*counted.columns)).unionByName(without_burst(unknown, "session", "ts_ms").select(*counted.columns))
+    parents = counted.select(F.col("session").alias("parent")).distinct()
+    known, unknown = (forks.join(parents, "parent", how).select(*counted.columns) for how in ("left_semi", "left_anti"))
+    kept = own.unionByName(without_replay(known, counted.drop("parent", "forked_ms"), "session", "parent", ["ord"], ["u"], "forked_ms", "ts_ms").select(*counted.columns)).unionByName(without_burst(unknown, "session", "ts_ms").select(*counted.columns))
     fresh, cached = split_cached(F.col("u.i"), F.col("u.c"), F.col("u.w"))
-    return entries(kept, "codex", keep=["ord", "state"], ts_ms=F.col("ts_ms"), session_id=F.col("rel"), model=F.col("model"), speed=F.col("state"), input_tokens=fresh, output_tokens=F.col("u.o"), cache_creation_tokens=F.col("u.w"), cache_read_tokens=cached)
-
-
-def counting_col() -> Column:
-    return F.col("kind") == "token_count"
+    found = entries(kept, "codex", keep=["ord", "state", "u"], ts_ms=F.col("ts_ms"), session_id=F.col("rel"), model=F.col("model"), speed=F.col("state"), input_tokens=fresh, output_tokens=F.col("u.o"), cache_creation_tokens=F.col("u.w"), cache_read_tokens=cached)
+    tier_rank = F.when(F.col("speed") == "standard", 0).when(F.col("speed") == "fast", 1).otherwise(2)
+    key = [F.col("ts_ms"), F.col("model"), F.col("u"), *([F.col("session_id")] if by_session else [])]
+    tiers = found.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min(F.struct(tier_rank.alias("r"), "speed"))["speed"].alias("_tier"))
+    first = keep_best(found, key, [F.col("file_path"), F.col("ord")])
+    same = F.lit(True)
+    for i, k in enumerate(["ts_ms", "model", "u", *(["session_id"] if by_session else [])]):
+        same &= F.col(k) == F.col(f"_k{i}")
+    return first.join(tiers, same).withColumns({"speed": F.col("_tier"), "state": F.col("_tier")}).select("ord", "state", *found.columns[3:])
 
 
 _PI = "struct<type:string,timestamp:string,id:string,parentId:string,parentSession:string,message:struct<role:string,model:string,modelId:string,provider:string,usage:struct<input:bigint,output:bigint,cacheRead:bigint,cacheWrite:bigint,totalTokens:bigint,cost:struct<total:double>>>,customType:string,modelId:string,provider:string,data:struct<modelId:string,provider:string>>"
@@ -122,66 +152,158 @@ def _pi_like(rows: DataFrame, agent: str, model: Column, session: Column, projec
     u = F.col("r.message.usage")
     cols = {"input_tokens": u["input"], "output_tokens": u["output"], "cache_read_tokens": u["cacheRead"], "cache_creation_tokens": u["cacheWrite"]}
     cost = F.when((u["cost"]["total"] >= 0) & (u["cost"]["total"] < 1e300), u["cost"]["total"])
-    found = used(entries(rows.where("r.message.usage is not null and r.message.role = 'assistant'"), agent, keep=["ord"], ts_ms=iso_ms(F.col("r.timestamp")), session_id=session, project=project, project_path=project, message_id=F.col("r.id"), model=text(model), stored_cost=cost, **with_total(u["totalTokens"], cols)))
+    found = used(entries(rows.where("r.message.usage is not null and r.message.role = 'assistant'"), agent, keep=["ord", "r"], ts_ms=iso_ms(F.col("r.timestamp")), session_id=session, project=project, project_path=project, message_id=F.col("r.id"), model=text(model), stored_cost=cost, **with_total(u["totalTokens"], cols)))
+    return found
+
+
+def _first_copy(found: DataFrame) -> DataFrame:
+    """DED-06: of entries with one content the first."""
     key = _content_id("session_id", "message_id", "ts_ms", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")
     return keep_best(found, [key], [F.col("file_path"), F.col("ord")])
 
 
-def pi(spark: SparkSession, paths: str | list[str], agent: str = "pi") -> DataFrame:
-    """SRC-19, SRC-20, DED-06: entries of pi stores; a named store gives its own agent. Artifacts of subagents are left out."""
-    lines = read_lines(spark, paths, any_of=['"usage"']).where(~F.contains("file_path", F.lit("/subagent-artifacts/"))).withColumn("r", F.from_json("value", _PI))
+def _active_path(lines: DataFrame) -> DataFrame:
+    """file_path, id, depth of the records on the way from the last record of a file up to its root; none of a file whose links are partial, repeated, dangling or cyclic.
+
+    Pointers are doubled, each round in a table: from the last record, the records 1, 2, 4, ... steps up.
+    """
+    links = lines.where("coalesce(r.type, '') <> 'session'").select("file_path", "ord", F.col("r.id").alias("id"), F.col("r.parentId").alias("up"))
+    linked = links.groupBy("file_path").agg(F.max(F.col("id").isNotNull() | F.col("up").isNotNull()).alias("any"), F.max(F.col("id").isNull()).alias("partial"), F.count("id").alias("n"), F.count_distinct("id").alias("d"), F.max_by("id", "ord").alias("leaf")).where("any and not partial and n = d")
+    nodes = persisted(links.join(linked.select("file_path", "n"), "file_path"), "pi-links")
+    dangling = nodes.where("up is not null").alias("a").join(nodes.alias("b"), F.expr("a.file_path = b.file_path and a.up = b.id"), "left_anti").select("file_path").distinct()
+    hops = persisted(nodes.join(dangling, "file_path", "left_anti").select("file_path", "id", "up", "n"), "pi-hops")
+    reached = persisted(linked.join(dangling, "file_path", "left_anti").select("file_path", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("depth")), "pi-path")
+    longest, step = hops.agg(F.max("n")).first()[0] or 0, 1
+    while step <= longest:
+        up = reached.join(hops, ["file_path", "id"]).where("up is not null").select("file_path", F.col("up").alias("id"), (F.col("depth") + step).alias("depth"))
+        reached = persisted(reached.unionByName(up), "pi-path")
+        over = hops.select("file_path", F.col("id").alias("up"), F.col("up").alias("_next"))
+        hops = persisted(hops.join(over, ["file_path", "up"], "left").select("file_path", "id", F.col("_next").alias("up"), "n"), "pi-hops")
+        step *= 2
+    # After as many steps as there are records only a circle still leads on.
+    circles = hops.where("up is not null").select("file_path").distinct()
+    return reached.join(circles, "file_path", "left_anti")
+
+
+def without_pi_replay(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """DED-16: entries of sessions without the leading ones that repeat the active path of their parent, up to the time of the fork.
+
+    found: entries with file_path, ord and r; lines: all lines of the files. A session whose line of parents
+    is malformed, unknown or a circle stays whole, as does one of a parent whose links are.
+    """
+    heads = lines.where("r.type = 'session'").groupBy("file_path").agg(F.min_by(F.struct(F.col("r.parentSession").alias("parent"), iso_ms(F.col("r.timestamp")).alias("forked_ms")), "ord").alias("h")).select("file_path", "h.*")
+    folder = F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)
+    named = heads.where("parent is not null").select("file_path", "forked_ms", F.explode(F.array_distinct(F.array("parent", F.concat(folder, F.lit("/"), "parent")))).alias("parent"))
+    files = heads.select(F.col("file_path").alias("parent"), F.regexp_replace("file_path", "^file:(//)?", "").alias("plain"))
+    matched = named.join(files.select(F.explode(F.array_distinct(F.array("parent", "plain"))).alias("parent"), F.col("parent").alias("up")), "parent")
+    pairs = persisted(matched.where("up <> file_path").groupBy("file_path").agg(F.min("up").alias("up"), F.max("forked_ms").alias("forked_ms")), "pi-parents")
+    bad = heads.where("forked_ms is null").select("file_path").unionByName(heads.where("parent is not null").select("file_path").join(pairs, "file_path", "left_anti")).distinct()
+    # Lineages are short; a session is bad if any of its parents is, or if they lead back to it.
+    climb, invalid = pairs.select("file_path", "up"), persisted(bad, "pi-bad")
+    for _ in range(max(1, pairs.count().bit_length())):
+        through = climb.join(invalid.select(F.col("file_path").alias("up")), "up", "left_semi").select("file_path")
+        circle = climb.where("file_path = up").select("file_path")
+        invalid = persisted(invalid.unionByName(through).unionByName(circle).distinct(), "pi-bad")
+        over = climb.select(F.col("file_path").alias("up"), F.col("up").alias("_next"))
+        climb = persisted(climb.join(over, "up").select("file_path", F.col("_next").alias("up")), "pi-climb")
+    fair = pairs.join(invalid, "file_path", "left_anti")
+    usage = F.struct("ts_ms", "message_id", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")
+    path = _active_path(lines)
+    unlinked = lines.where("coalesce(r.type, '') <> 'session'").groupBy("file_path").agg(F.max(F.col("r.id").isNotNull() | F.col("r.parentId").isNotNull()).alias("any")).where("not any").select("file_path")
+    active = found.join(path.select("file_path", F.col("id").alias("message_id"), "depth"), ["file_path", "message_id"]).select("file_path", (-F.col("depth")).alias("at"), F.lit("").alias("line"), usage.alias("theirs"), "ts_ms")
+    plain = found.join(unlinked, "file_path", "left_semi").select("file_path", F.lit(0).cast("long").alias("at"), F.col("ord").alias("line"), usage.alias("theirs"), "ts_ms")
+    order = Window.partitionBy("file_path").orderBy("at", "line")
+    parents = active.unionByName(plain).withColumn("_n", F.row_number().over(order)).withColumnsRenamed({"file_path": "up", "ts_ms": "their_ms"}).drop("at", "line")
+    number = Window.partitionBy("file_path").orderBy("ord")
+    ours = found.join(fair, "file_path").withColumn("_n", F.row_number().over(number)).join(parents, ["up", "_n"], "left")
+    same = F.coalesce((usage == F.col("theirs")) & (F.col("their_ms") <= F.col("forked_ms")), F.lit(False))
+    replay = ours.withColumn("_replay", F.min(same.cast("int")).over(number.rowsBetween(Window.unboundedPreceding, 0))).where("_replay = 1").select("file_path", "ord")
+    return found.join(replay, ["file_path", "ord"], "left_anti").select(*found.columns)
+
+
+def pi(spark: SparkSession, paths: Place, agent: str = "pi") -> DataFrame:
+    """SRC-19, SRC-20, DED-06, DED-16: entries of pi stores; a named store gives its own agent. Artifacts of subagents are left out, and what a forked session repeats of its parent."""
+    lines = read_lines(spark, paths).where(~F.contains("file_path", F.lit("/subagent-artifacts/"))).withColumn("r", F.from_json("value", _PI))
     name = stem(F.col("file_path"))
-    return _pi_like(lines, agent, F.col("r.message.model"), F.regexp_replace(name, "^[^_]*_", ""), F.regexp_extract("file_path", r"sessions/([^/]+)/", 1))
+    found = _pi_like(lines, agent, F.col("r.message.model"), F.regexp_replace(name, "^[^_]*_", ""), F.regexp_extract("file_path", r"sessions/([^/]+)/", 1))
+    forked = lines.where("r.type = 'session' and r.parentSession is not null")
+    return _first_copy(found if forked.isEmpty() else without_pi_replay(found, lines)).drop("r")
 
 
-def openclaw(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def openclaw(spark: SparkSession, paths: Place) -> DataFrame:
     """SRC-22, STATE-03: entries of OpenClaw logs; a line without a model has the last one said before it in the file."""
     lines = read_lines(spark, paths).withColumn("r", F.from_json("value", _PI))
     says = F.when((F.col("r.type") == "model_change") | (F.col("r.customType") == "model-snapshot"), F.coalesce("r.modelId", "r.data.modelId"))
     upto = Window.partitionBy("file_path").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("said", F.last(says, True).over(upto))
     model = F.concat(F.lit("[openclaw] "), F.coalesce("r.message.modelId", "r.message.model", "said"))
-    return _pi_like(lines, "openclaw", model, stem(F.col("file_path")), F.lit("OpenClaw"))
+    return _first_copy(_pi_like(lines, "openclaw", model, stem(F.col("file_path")), F.lit("OpenClaw"))).drop("r")
+
+
+# Attributes that name a session, the best first.
+SESSION_NAMES = ["gen_ai.conversation.id", "copilot_chat.session_id", "copilot_chat.chat_session_id", "session.id", "github.copilot.interaction_id", "gen_ai.response.id"]
+_OTEL = "struct<type:string,traceId:string,spanId:string,name:string,body:string,endTime:string>"
 
 
-_OTEL = "struct<type:string,traceId:string,spanId:string,name:string,body:string,endTime:string,attributes:map<string,string>>"
+def attribute(attributes: Column, name: str) -> Column:
+    """Text of an attribute of a variant, written dotted or nested, plain or within intValue or stringValue; null if empty."""
+    dotted, nested = f"$['{name}']", "$" + "".join(f"['{part}']" for part in name.split("."))
+    found = [F.try_variant_get(attributes, f"{p}{wrapped}", "string") for p in dict.fromkeys((dotted, nested)) for wrapped in ("['intValue']", "['stringValue']", "")]
+    return text(F.coalesce(*found))
 
 
 def copilot_spans(spans: DataFrame) -> DataFrame:
-    """SRC-24, JOIN-12, DED-11: entries of spans and logs; of one trace or response only the best kind counts.
+    """SRC-24, JOIN-12, DED-11: entries of spans and logs; of one trace or response only the best kind with tokens counts.
 
-    spans: file_path, type, traceId, name, ts_ms and attributes (a map from dotted names to text).
+    spans: file_path, type, traceId, name, ts_ms, attributes (a variant) and, if there is one, ord. Missing
+    models and sessions are taken from the trace, else are unknown or the trace's id.
     """
     a = F.col("attributes")
-    number = lambda *names: F.coalesce(*[a[n].try_cast("double").cast("long") for n in names], F.lit(0).cast("long"))
-    span = F.col("type") == "span"
-    op, event = a["gen_ai.operation.name"], a["event.name"]
+    number = lambda *names: counter(F.coalesce(*[attribute(a, n).try_cast("double").cast("long") for n in names], F.lit(0).cast("long")))
+    span = F.coalesce(F.col("type") == "span", F.lit(False))
+    op, event, name = attribute(a, "gen_ai.operation.name"), attribute(a, "event.name"), F.coalesce("name", F.lit(""))
     source = (
-        F.when(span & ((op == "chat") | F.col("name").startswith("chat ")), 0).when(~span & (event == "gen_ai.client.inference.operation.details"), 1).when(~span & (event == "copilot_chat.agent.turn"), 2).when(span & ((op == "invoke_agent") | F.col("name").startswith("invoke_agent ")), 3)
-    )
-    model = F.regexp_replace(text(F.coalesce(a["gen_ai.response.model"], a["gen_ai.request.model"])), r"-1m(-internal)?$", "")
-    rows = spans.withColumns({"source": source, "own": model, "session": text(F.coalesce(a["gen_ai.conversation.id"], a["session.id"])), "response": a["gen_ai.response.id"]})
-    trace = rows.where("traceId is not null").groupBy("file_path", "traceId").agg(F.min(F.when(F.col("own").isNotNull(), F.struct("source", "own")))["own"].alias("_m"), F.min(F.when(F.col("session").isNotNull(), F.struct("source", "session")))["session"].alias("_s"))
-    rows = rows.where("source is not null").join(trace, ["file_path", "traceId"], "left").withColumns({"own": F.coalesce("own", "_m"), "session": F.coalesce("session", "_s")})
-    cached = number("gen_ai.usage.cache_read.input_tokens")
-    written = number("gen_ai.usage.cache_write.input_tokens", "gen_ai.usage.cache_creation.input_tokens")
-    fresh = F.greatest(number("gen_ai.usage.input_tokens") - cached - written, F.lit(0))
-    rows = rows.withColumns({"fresh": fresh, "cached": cached, "written": written, "out": number("gen_ai.usage.output_tokens")})
+        F.when(span & (F.coalesce(op == "chat", F.lit(False)) | name.startswith("chat ")), 0).when(~span & ((event == "gen_ai.client.inference.operation.details") | name.startswith("GenAI inference:")), 1).when(~span & ((event == "copilot_chat.agent.turn") | name.startswith("copilot_chat.agent.turn")), 2)
+        .when(span & (F.coalesce(op == "invoke_agent", F.lit(False)) | name.startswith("invoke_agent ")), 3)
+    )
+    model = F.regexp_replace(F.coalesce(attribute(a, "gen_ai.response.model"), attribute(a, "gen_ai.request.model")), r"-1m(-internal)?$", "")
+    priority = {n: 2 if "interaction" in n else 3 if "response" in n else 1 for n in SESSION_NAMES}
+    session = F.coalesce(*[F.when(attribute(a, n).isNotNull(), F.struct(F.lit(p).alias("p"), F.lit(k).alias("k"), attribute(a, n).alias("s"))) for k, (n, p) in enumerate(priority.items())])
+    rows = spans.where("attributes is not null").withColumns({"source": source, "own": model, "_session": session, "response": attribute(a, "gen_ai.response.id"), "order": F.col("ord") if "ord" in spans.columns else F.lit("")})
+    into, cached = number("gen_ai.usage.input_tokens"), number("gen_ai.usage.cache_read.input_tokens")
+    columns = {"input_tokens": into - F.least(into, cached), "output_tokens": number("gen_ai.usage.output_tokens"), "cache_creation_tokens": number("gen_ai.usage.cache_write.input_tokens", "gen_ai.usage.cache_creation.input_tokens"), "cache_read_tokens": cached}
+    counts = with_total(number("gen_ai.usage.total_tokens", "gen_ai.usage.total.token_count"), columns)
+    trace = rows.where("traceId is not null").groupBy("file_path", "traceId").agg(F.min(F.when(F.col("own").isNotNull(), F.struct("order", "own")))["own"].alias("_m"), F.min(F.when(F.col("_session").isNotNull(), F.struct("_session.p", "order", "_session.k", "_session.s")))["s"].alias("_s"))
+    rows = rows.where("source is not null").withColumns({f"_{k}": v for k, v in counts.items()}).where(" + ".join(f"_{k}" for k in counts) + " > 0").join(trace, ["file_path", "traceId"], "left")
+    rows = rows.withColumns({"own": F.coalesce("own", "_m", F.lit("unknown")), "session": F.coalesce("_session.s", "_s", "traceId", F.lit("unknown-session"))})
     kept = by_precedence([rows.where(F.col("source") == k) for k in range(4)], [["file_path", "traceId"], ["file_path", "response"]])
-    return used(entries(kept, "copilot", ts_ms=F.col("ts_ms"), session_id=F.coalesce("session", "traceId"), project_path=F.lit("GitHub Copilot CLI"), message_id=F.col("response"), model=F.col("own"), input_tokens=F.col("fresh"), output_tokens=F.col("out"), cache_creation_tokens=F.col("written"), cache_read_tokens=F.col("cached"), message_count=F.lit(1)))
+    return used(entries(kept, "copilot", ts_ms=F.col("ts_ms"), session_id=F.col("session"), project_path=F.lit("GitHub Copilot CLI"), message_id=F.col("response"), model=F.col("own"), message_count=F.lit(1), **{k: F.col(f"_{k}") for k in counts}))
+
+
+def _span_ms(variant: Column, modified: Column) -> Column:
+    """The first time of a record: pairs of seconds and nanoseconds, or plain numbers by their size, else the file's."""
+    pairs = [F.try_variant_get(variant, f"$.{n}", "array<bigint>") for n in ("endTime", "startTime", "hrTime", "_hrTime", "time")]
+    plain = [F.try_variant_get(variant, f"$.{n}", "string") for n in ("timestamp", "observedTimestamp", "timeUnixNano", "endTime")]
+    by_size = lambda x: F.when(x >= 10**17, F.floor(x / 1_000_000)).when(x >= 10**14, F.floor(x / 1000)).when(x >= 10**11, x).otherwise(x * 1000)
+    numbers = [by_size(x.try_cast("long")) for x in plain]
+    return F.coalesce(*[F.when(F.size(x) >= 2, x[0] * 1000 + F.floor(x[1] / 1_000_000)) for x in pairs], *numbers, *[iso_ms(x) for x in plain], modified)
+
+
+def copilot(spark: SparkSession, paths: Place) -> DataFrame:
+    """SRC-24: entries of telemetry logs."""
+    lines = read_lines(spark, paths, any_of=['"attributes"']).withColumns({"v": F.try_parse_json("value"), "r": F.from_json("value", _OTEL)})
+    return copilot_spans(lines.select("file_path", "ord", "r.type", F.coalesce("r.traceId", F.try_variant_get("v", "$.spanContext.traceId", "string")).alias("traceId"), F.coalesce("r.name", "r.body", F.lit("")).alias("name"), _span_ms(F.col("v"), F.lit(None).cast("long")).alias("ts_ms"), F.try_variant_get("v", "$.attributes", "variant").alias("attributes")))
 
 
-def copilot(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    lines = read_lines(spark, paths, any_of=["gen_ai", "copilot_chat"]).withColumn("r", F.from_json("value", _OTEL))
-    end = F.from_json("r.endTime", "array<bigint>")
-    ts = F.coalesce(F.when(F.size(end) == 2, end[0] * 1000 + F.floor(end[1] / 1_000_000)), iso_ms(F.col("r.endTime")))
-    return copilot_spans(lines.select("file_path", "r.type", "r.traceId", F.coalesce("r.name", F.lit("")).alias("name"), ts.alias("ts_ms"), "r.attributes"))
+def copilot_reconciled(spans: DataFrame, shutdowns: DataFrame) -> DataFrame:
+    """DED-12: entries of shutdowns, and those of telemetry after the last shutdown of their session and model."""
+    return shutdowns.unionByName(after_last(spans, shutdowns, ["session_id", "model"], "ts_ms").select(*shutdowns.columns))
 
 
 _SHUTDOWN = "struct<type:string,id:string,timestamp:string,data:struct<modelMetrics:map<string,struct<usage:struct<inputTokens:bigint,outputTokens:bigint,cacheReadTokens:bigint,cacheWriteTokens:bigint,reasoningTokens:bigint>,requests:struct<count:bigint>>>>>"
 
 
-def copilot_sessions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def copilot_sessions(spark: SparkSession, paths: Place) -> DataFrame:
     """SRC-25, WIN-07: entries of cumulative shutdown metrics, as differences by session and model."""
     lines = read_lines(spark, paths, any_of=["session.shutdown"]).withColumn("r", F.from_json("value", _SHUTDOWN)).where("r.type = 'session.shutdown'")
     rows = lines.select("file_path", "ord", iso_ms(F.col("r.timestamp")).alias("ts_ms"), F.explode("r.data.modelMetrics").alias("name", "m")).where("ts_ms is not null")
@@ -196,7 +318,7 @@ def copilot_sessions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return used(entries(deltas, "copilot", ts_ms=F.col("ts_ms"), session_id=F.col("session"), project_path=F.lit("GitHub Copilot CLI"), model=F.col("model"), input_tokens=F.col("i"), output_tokens=F.col("o"), cache_creation_tokens=F.col("w"), cache_read_tokens=F.col("c"), message_count=F.col("n")))
 
 
-def kimi(spark: SparkSession, paths: str | list[str], models: DataFrame | None = None, default_model: str = "kimi-for-coding") -> DataFrame:
+def kimi(spark: SparkSession, paths: Place, models: DataFrame | None = None, default_model: str = "kimi-for-coding") -> DataFrame:
     """SRC-29, DED-06: entries of Kimi wire logs, old status updates and new usage records of turns; models: dir and model of config files."""
     counts = "input_other:bigint,output:bigint,input_cache_creation:bigint,input_cache_read:bigint,total:bigint"
     schema = f"struct<type:string,timestamp:double,message:struct<type:string,payload:struct<message_id:string,token_usage:struct<{counts}>>>,model:string,usage:struct<inputOther:bigint,output:bigint,inputCacheCreation:bigint,inputCacheRead:bigint>,usageScope:string,time:bigint>"
@@ -211,7 +333,7 @@ def kimi(spark: SparkSession, paths: str | list[str], models: DataFrame | None =
     return keep_best(found, [_content_id("session_id", "message_id", "ts_ms", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens")], [F.col("file_path"), F.col("ord")])
 
 
-def qwen(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def qwen(spark: SparkSession, paths: Place) -> DataFrame:
     """SRC-30, DED-06: entries of Qwen chats."""
     schema = "struct<type:string,sessionId:string,timestamp:string,model:string,uuid:string,usageMetadata:struct<promptTokenCount:bigint,candidatesTokenCount:bigint,thoughtsTokenCount:bigint,cachedContentTokenCount:bigint,totalTokenCount:bigint>>"
     lines = read_lines(spark, paths, any_of=["usageMetadata"]).withColumn("r", F.from_json("value", schema)).where("r.type = 'assistant'")
@@ -222,7 +344,7 @@ def qwen(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return keep_best(found, [_content_id("session_id", "ts_ms", "model", "input_tokens", "output_tokens", "cache_read_tokens", "extra_tokens")], [F.col("file_path"), F.col("ord")])
 
 
-def grok(spark: SparkSession, paths: str | list[str], summaries: DataFrame | None = None, default_model: str = "grok-code-fast-1") -> DataFrame:
+def grok(spark: SparkSession, paths: Place, summaries: DataFrame | None = None, default_model: str = "grok-code-fast-1") -> DataFrame:
     """SRC-31, DED-14: entries of completed turns by model, or of the whole turn; summaries: dir, id, cwd, model of summary files."""
     counts = "inputTokens:bigint,outputTokens:bigint,cachedReadTokens:bigint,cacheCreationTokens:bigint,reasoningTokens:bigint,costUsdTicks:bigint"
     schema = f"struct<timestamp:double,params:struct<sessionId:string,_meta:struct<eventId:string,agentTimestampMs:bigint>,update:struct<sessionUpdate:string,usage:struct<{counts},modelUsage:map<string,struct<{counts}>>>>>>"
@@ -251,7 +373,7 @@ def hooks(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.from_json(payload, _HOOK).alias("h")).select(*keep, "h.session_id", "h.transcript_path", F.coalesce("h.model.display_name", "h.model.id").alias("model"), F.col("h.cost.total_cost_usd").alias("cost"), F.col("h.context_window.total_input_tokens").alias("context"), F.col("h.context_window.context_window_size").alias("size"), F.col("h.effort.level").alias("effort"))
 
 
-def last_context(spark: SparkSession, path: str) -> DataFrame:
+def last_context(spark: SparkSession, path: Place) -> DataFrame:
     """SRC-36: per transcript the input tokens, cached ones included, of its last line with usage."""
     lines = read_lines(spark, path, any_of=['"usage":{']).withColumn("r", F.from_json("value", _CLAUDE)).where("r.message.usage.input_tokens is not null")
     u = F.col("r.message.usage")

@@ -1,66 +1,20 @@
-"""A data source that reads tables of many SQLite files, one partition a file."""
+"""Tables of many SQLite files, read as blobs by Spark and opened in memory by the tasks."""
 
 from __future__ import annotations
 
-import glob
-import os
 import sqlite3
 from collections.abc import Iterator
-from urllib.parse import quote
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
-from pyspark.sql.types import StructType
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-_OPS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+from quillmill.sources.text import Place, _named
 
-
-class SqliteFile(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
-class SqliteReader(DataSourceReader):
-    """Files are opened read-only; columns a file lacks are null, a file without the table gives no rows.
-
-    Comparisons with constants are pushed into the query and applied by Spark again, so a column of another
-    scale or type in some file can't change the result.
-    """
-
-    def __init__(self, schema: StructType, options: dict):
-        self.schema, self.table = schema, options["dbtable"]
-        path = options["path"].removeprefix("file://")
-        self.files = sorted(glob.glob(os.path.join(path, "**", options.get("glob", "*.db")), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
-        self.pushed: list[tuple[str, str, object]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            if type(f) in _OPS and len(f.attribute) == 1 and isinstance(f.value, int) and f.attribute[0] != "file_path":
-                self.pushed.append((f.attribute[0], _OPS[type(f)], f.value))
-            yield f
-
-    def partitions(self) -> list[InputPartition]:
-        return [SqliteFile(f) for f in self.files]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition is None:
-            return
-        connection = sqlite3.connect(f"file:{quote(partition.path)}?mode=ro", uri=True)
-        try:
-            have = {row[1] for row in connection.execute(f'pragma table_info("{self.table}")')}
-            if not have:
-                return
-            names = [f.name for f in self.schema.fields if f.name != "file_path"]
-            listed = ", ".join(f'"{n}"' if n in have else "null" for n in names)
-            tests = [(n, o, v) for n, o, v in self.pushed if n in have]
-            # A text in a number's column compares above all numbers here, so such rows are kept for Spark.
-            where = " and ".join(f"(\"{n}\" {o} ? or typeof(\"{n}\") not in ('integer', 'real'))" for n, o, _ in tests)
-            kinds = [f.dataType.simpleString() for f in self.schema.fields if f.name != "file_path"]
-            for row in connection.execute(f'select {listed} from "{self.table}"' + (f" where {where}" if where else ""), [v for *_, v in tests]):
-                yield (partition.path, *(_typed(v, k) for v, k in zip(row, kinds, strict=True)))
-        finally:
-            connection.close()
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+#: Rows in a batch.
+ROWS = 10_000
 
 
 def _typed(value: object, kind: str) -> object:
@@ -69,7 +23,8 @@ def _typed(value: object, kind: str) -> object:
         return None
     try:
         if kind == "bigint":
-            return int(value) if not isinstance(value, str) or value.strip().lstrip("-").isdigit() else None
+            number = int(value) if not isinstance(value, str) or value.strip().lstrip("-").isdigit() else None
+            return number if number is None or -(2**63) <= number < 2**63 else None
         if kind == "double":
             return float(value)
         if kind == "binary":
@@ -79,20 +34,44 @@ def _typed(value: object, kind: str) -> object:
         return None
 
 
-class SqliteSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "quillmill_sqlite"
+def stores(spark: SparkSession, paths: Place, pattern: str = "*.db") -> DataFrame:
+    """file_path and content of SQLite files below a path of any file system Spark reads, or of such rows given instead."""
+    if isinstance(paths, DataFrame):
+        return _named(paths, pattern).select("file_path", "content")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(paths)
+    return raw.select(F.url_decode(F.replace("path", F.lit("%"), F.lit("%25"))).alias("file_path"), "content")
 
-    def schema(self) -> str:
-        return "file_path string, id string"
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return SqliteReader(schema, self.options)
+def read_table(spark: SparkSession, paths: Place, name: str, columns: str, pattern: str = "*.db") -> DataFrame:
+    """file_path and the columns asked for of a table in all SQLite files below a path; columns: their names and types.
 
-
-def read_table(spark: SparkSession, path: str, name: str, columns: str, pattern: str = "*.db"):
-    """Rows of a table in all SQLite files of a folder (or of one file); columns: their names and types."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(SqliteSource)
-    return spark.read.format("quillmill_sqlite").schema(f"file_path string, {columns}").option("dbtable", name).option("glob", pattern).load(path)
+    Columns a file lacks are null, a file without the table gives no rows, an empty file neither. A file is
+    opened in the memory of one task, so it must fit there (Spark reads no file over 2 GB); its rows are
+    passed on in batches.
+    """
+    asked = _parse_datatype_string(columns)
+    schema = StructType([*_parse_datatype_string("file_path string").fields, *asked.fields])
+    kinds = [f.dataType.simpleString() for f in asked.fields]
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                content = bytearray(blob.as_py() or b"")
+                if len(content) < 100:
+                    continue
+                content[18:20] = b"\x01\x01"  # a file in write-ahead mode can't be opened in memory; its log isn't here
+                connection = sqlite3.connect(":memory:")
+                try:
+                    connection.deserialize(bytes(content))
+                    have = {row[1] for row in connection.execute(f'pragma table_info("{name}")')}
+                    if not have:
+                        continue
+                    listed = ", ".join(f'"{f.name}"' if f.name in have else "null" for f in asked.fields)
+                    found = connection.execute(f'select {listed} from "{name}"')
+                    while rows := found.fetchmany(ROWS):
+                        values = [pa.array([_typed(v, k) for v in column], _ARROW[k]) for column, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                        yield pa.record_batch([pa.array([path] * len(rows)), *values], names=schema.names)
+                finally:
+                    connection.close()
+
+    return stores(spark, paths, pattern).mapInArrow(load, schema)

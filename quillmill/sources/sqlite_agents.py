@@ -14,7 +14,7 @@ from quillmill.operators.dedupe import keep_best, merged_identities, migrated, w
 from quillmill.sources.document_agents import read_documents
 from quillmill.sources.entries import entries, used, with_total
 from quillmill.sources.sqlite import read_table
-from quillmill.sources.text import stem, text
+from quillmill.sources.text import Place, stem, text
 
 _DATA = "struct<id:string,sessionID:string,role:string,modelID:string,providerID:string,model:struct<id:string,providerID:string>,cost:double,time:struct<created:double>,tokens:struct<input:bigint,output:bigint,reasoning:bigint,total:bigint,cache:struct<read:bigint,write:bigint>>>"
 
@@ -30,7 +30,7 @@ def _message(rows: DataFrame, agent: str, project: str, created: Column) -> Data
     return used(entries(rows, agent, keep=["rank"], ts_ms=F.coalesce(epoch_ms(F.col("r.time.created")), created), session_id=F.coalesce(text(F.col("r.sessionID")), "session_id"), project_path=F.lit(project), message_id=F.coalesce(text(F.col("r.id")), "id"), model=text(F.coalesce("r.modelID", "r.model.id")), stored_cost=F.col("r.cost"), **with_total(t["total"], cols, t["reasoning"])))
 
 
-def opencode(spark: SparkSession, path: str) -> DataFrame:
+def opencode(spark: SparkSession, path: Place) -> DataFrame:
     """SRC-13, SRC-14, DED-06, DED-09: messages of both tables, then JSON files, by rank; one row an id; totals of sessions without any message."""
     cols = "id string, session_id string, time_created bigint, data string"
     db = read_table(spark, path, "message", cols).withColumn("rank", F.lit(0)).unionByName(read_table(spark, path, "session_message", cols).withColumn("rank", F.lit(1)))
@@ -44,13 +44,13 @@ def opencode(spark: SparkSession, path: str) -> DataFrame:
     return found.unionByName(without(totals, found, ["session_id"])).drop("rank")
 
 
-def kilo(spark: SparkSession, path: str) -> DataFrame:
+def kilo(spark: SparkSession, path: Place) -> DataFrame:
     """SRC-23, DED-06: assistant messages, the first of each id."""
     rows = read_table(spark, path, "message", "id string, session_id string, data string").withColumns({"r": F.from_json("data", _DATA), "rank": F.lit(0)}).where("r.role = 'assistant'")
     return keep_best(_message(rows, "kilo", "Kilo", F.lit(None).cast("long")), [F.col("message_id")], [F.col("file_path"), F.col("ts_ms")]).drop("rank")
 
 
-def goose(spark: SparkSession, path: str) -> DataFrame:
+def goose(spark: SparkSession, path: Place) -> DataFrame:
     """SRC-21: one entry a session; accumulated counts first; what the total has beyond input and output is reasoning."""
     cols = "id string, model_config_json string, provider_name string, created_at string, total_tokens bigint, input_tokens bigint, output_tokens bigint, accumulated_total_tokens bigint, accumulated_input_tokens bigint, accumulated_output_tokens bigint"
     rows = read_table(spark, path, "sessions", cols)
@@ -61,7 +61,7 @@ def goose(spark: SparkSession, path: str) -> DataFrame:
     return used(entries(rows, "goose", ts_ms=ts, session_id=F.col("id"), project_path=F.lit("Goose"), message_id=F.col("id"), model=text(F.get_json_object("model_config_json", "$.model_name")), input_tokens=into, output_tokens=out, extra_tokens=F.greatest(total - into - out, F.lit(0))))
 
 
-def hermes(spark: SparkSession, path: str) -> DataFrame:
+def hermes(spark: SparkSession, path: Place) -> DataFrame:
     """SRC-18: one entry a session with a model; the actual cost before the estimate."""
     cols = "id string, source string, model string, started_at double, message_count bigint, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint, reasoning_tokens bigint, billing_provider string, estimated_cost_usd double, actual_cost_usd double"
     return hermes_rows(read_table(spark, path, "sessions", cols), epoch_ms(F.col("started_at")))
@@ -71,7 +71,7 @@ def hermes_rows(rows: DataFrame, ts: Column) -> DataFrame:
     return used(entries(rows, "hermes", ts_ms=ts, session_id=F.col("id"), project_path=F.lit("Hermes"), message_id=F.col("id"), model=text(F.col("model")), input_tokens=F.col("input_tokens"), output_tokens=F.col("output_tokens"), cache_creation_tokens=F.col("cache_write_tokens"), cache_read_tokens=F.col("cache_read_tokens"), extra_tokens=F.col("reasoning_tokens"), stored_cost=F.coalesce("actual_cost_usd", "estimated_cost_usd"), message_count=F.col("message_count")))
 
 
-def zcode(spark: SparkSession, path: str) -> DataFrame:
+def zcode(spark: SparkSession, path: Place) -> DataFrame:
     """SRC-32, JOIN-11, DED-06: completed usage rows with their session's folder; the first of each id in order of the files."""
     cols = "id string, session_id string, started_at bigint, model_id string, provider_id string, status string, input_tokens bigint, output_tokens bigint, cache_creation_input_tokens bigint, cache_read_input_tokens bigint, computed_total_tokens bigint"
     rows = read_table(spark, path, "model_usage", cols).where("status = 'completed'")
@@ -86,7 +86,7 @@ def zcode_rows(rows: DataFrame, ts: Column, directory: Column) -> DataFrame:
     return used(entries(rows, "zcode", ts_ms=ts, session_id=F.col("session_id"), project_path=directory, message_id=F.col("id"), model=text(F.col("model_id")), **with_total(F.col("computed_total_tokens"), cols)))
 
 
-def openclaw_store(spark: SparkSession, path: str) -> DataFrame:
+def openclaw_store(spark: SparkSession, path: Place) -> DataFrame:
     """SRC-22: transcript events in order of session and number, as entries."""
     schema = "struct<id:string,timestamp:string,message:struct<role:string,model:string,modelId:string,usage:struct<input:bigint,output:bigint,cacheRead:bigint,cacheWrite:bigint,totalTokens:bigint,cost:struct<total:double>>>>"
     rows = read_table(spark, path, "transcript_events", "session_id string, seq bigint, event_json string, created_at bigint").withColumn("r", F.from_json("event_json", schema)).where("r.message.usage is not null and r.message.role = 'assistant'")
@@ -163,7 +163,7 @@ def _time_of(blob: object) -> int | None:
 _EVENT = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "file_path", "k1", "k2", "k3", "model")] + [T.StructField(n, T.LongType()) for n in ("ts", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")])
 
 
-def antigravity(spark: SparkSession, path: str) -> DataFrame:
+def antigravity(spark: SparkSession, path: Place) -> DataFrame:
     """SRC-28, DED-13: usage of step records in protobuf, retries included; events that share an identity are one.
 
     A broken message fails the read.

@@ -73,7 +73,7 @@ def test_claude(spark, tmp_path):
     put(tmp_path, "projects/q/flat.jsonl", {"sessionId": "z", "data": {"message": {"timestamp": "2026-01-10T00:00:00Z", "message": {"id": "n", "model": "m", "usage": {"input_tokens": 5, "output_tokens": 6}}}}})
     df = jsonl_agents.claude(spark, str(tmp_path))
     assert rows(df, "message_id", "input_tokens", "output_tokens", "cache_creation_tokens", "model", "session_id", "project") == [
-        ("a", 100, 50, 3, "model-a", "s", "p"), ("b", 200, 75, 3, "model-a-fast", "s", "p"), ("c", 1, 2, 3, "model-a", "s", "p"), ("c:advisor:0", 7, 8, 0, "adv", "s", "p"), ("d", 1, 2, 30, "model-a", "s", "p"), ("k", 1, 2, 3, None, "s1", "p"),
+        ("a", 100, 50, 3, "model-a", "s1", "p"), ("b", 200, 75, 3, "model-a-fast", "s1", "p"), ("c", 1, 2, 3, "model-a", "s1", "p"), ("c:advisor:0", 7, 8, 0, "adv", "s1", "p"), ("d", 1, 2, 30, "model-a", "s1", "p"), ("k", 1, 2, 3, None, "s1", "p"),
     ]
     daily = jsonl_agents.claude(spark, str(tmp_path), daily=True)
     assert daily.count() == 7 and daily.where("message_id = 'n'").first()["input_tokens"] == 5
@@ -91,7 +91,7 @@ def test_claude_report(spark, tmp_path):
     assert found.where("active").first()["minutes_left"] == 77
     assert [r["session_id"] for r in reports.sessions(entries, keys=("project_path",)).withColumn("session_id", F.col("project_path")).collect()] == ["alpha", "beta"]
     status = reports.status(entries, "s", Options(now_ms=1_770_119_000_000))
-    assert round(status["session"], 2) == 1.09 and round(status["today"], 2) == 0.07 and round(status["block"], 2) == 0.07
+    assert round(status["session"], 2) == 1.02 and round(status["today"], 2) == 0.07 and round(status["block"], 2) == 0.07
     both = reports.unified(entries, "monthly").collect()
     assert [(r["period"], r["agents"][0]["agent"]) for r in both] == [("2026-01", "claude"), ("2026-02", "claude")]
     assert list(reports.sections(entries, ["monthly", "daily"], "session")) == ["session", "daily", "monthly"]
@@ -128,13 +128,71 @@ def test_codex(spark, tmp_path):
 
 
 def test_codex_fork_drops_replay(spark, tmp_path):
-    meta = lambda i, parent=None: {"timestamp": "2026-01-01T00:00:00Z", "type": "session_meta", "payload": {"id": i} | ({"forked_from_id": parent} if parent else {})}
+    meta = lambda i, parent=None: {"timestamp": "2026-01-01T00:02:00Z", "type": "session_meta", "payload": {"id": i} | ({"forked_from_id": parent} if parent else {})}
     first, second = count("2026-01-01T00:00:01Z", (10, 0, 1), (10, 0, 1)), count("2026-01-01T00:01:01Z", (20, 0, 2), (10, 0, 1))
     put(tmp_path, "sessions/p.jsonl", meta("P"), first, second)
     put(tmp_path, "sessions/c.jsonl", meta("C", "P"), first, second, count("2026-01-01T01:00:00Z", (99, 0, 9), (79, 0, 7)))
     put(tmp_path, "sessions/u.jsonl", meta("U", "gone"), first, count("2026-01-01T00:00:01.500Z", (20, 0, 2), (10, 0, 1)), count("2026-01-01T00:09:00Z", (25, 0, 3), (5, 0, 1)))
+    late = count("2026-01-01T00:03:00Z", (30, 0, 3), (10, 0, 1))  # of the parent, after the fork
+    put(tmp_path, "sessions/p.jsonl", meta("P"), first, second, late)
+    put(tmp_path, "sessions/d.jsonl", meta("D", "P"), first, second, count("2026-01-01T00:04:00Z", (30, 0, 3), (10, 0, 1)))
     df = jsonl_agents.codex(spark, str(tmp_path))
-    assert rows(df, "session_id", "input_tokens") == [("c", 79), ("p", 10), ("p", 10), ("u", 5)]
+    assert rows(df, "session_id", "input_tokens") == [("c", 79), ("d", 10), ("p", 10), ("p", 10), ("p", 10), ("u", 5)]
+
+
+def test_codex_runs_without_a_session(spark, tmp_path):
+    use = {"input_tokens": 9, "cached_input_tokens": 4, "output_tokens": 2}
+    put(tmp_path, "sessions/h.jsonl", {"type": "turn.completed", "timestamp": "2026-01-01T00:00:01Z", "model": "hm", "usage": use}, {"result": {"usage": use, "created_at": "2026-01-01T00:00:02Z"}}, {"type": "x", "usage": {"input_tokens": 0}})
+    assert rows(jsonl_agents.codex(spark, str(tmp_path)), "ts_ms", "model", "input_tokens", "cache_read_tokens") == [(1767225601000, "hm", 5, 4), (1767225602000, "hm", 5, 4)]
+
+
+def test_a_record_in_two_files_counts_once(spark, tmp_path):
+    for path in ("c/projects/p/s/a.jsonl", "c/projects/p/s/b.jsonl"):
+        put(tmp_path, path, claude_line("2026-01-09T10:00:00Z", into=10, out=0, cost=1.0, id="one", usage={"cache_creation_input_tokens": 0, "cache_read_input_tokens": 0}))
+    for path in ("x/sessions/a.jsonl", "x/sessions/b.jsonl"):
+        put(tmp_path, path, count("2026-01-01T00:00:01Z", (10, 0, 1), (10, 0, 1)))
+    found, failed = registry.load(spark, {"claude": str(tmp_path / "c"), "codex": str(tmp_path / "x")})
+    assert not failed and rows(found, "agent", "input_tokens") == [("claude", 10), ("codex", 10)]
+    total = reports.unified(found.where("agent = 'claude'"), "daily").first()
+    assert (total["input_tokens"], total["cost"]) == (10, 1.0)
+    assert jsonl_agents.codex(spark, str(tmp_path / "x"), by_session=True).count() == 2
+
+
+def test_stores_of_one_agent_are_reconciled(spark, tmp_path):
+    span = {"type": "span", "traceId": "t", "name": "chat m", "attributes": {"gen_ai": {"usage": {"input_tokens": {"intValue": "7"}}, "request": {"model": "m"}, "conversation": {"id": "sess"}}}}
+    put(tmp_path, "otel/x.jsonl", span | {"endTime": [1_767_225_500, 0]}, span | {"traceId": "u", "endTime": [1_767_225_700, 0]})
+    put(tmp_path, "state/sess/events.jsonl", {"type": "session.shutdown", "id": "1", "timestamp": "2026-01-01T00:00:00Z", "data": {"modelMetrics": {"m": {"usage": {"inputTokens": 5, "outputTokens": 1}}}}})
+    found, failed = registry.load(spark, {"copilot": str(tmp_path / "otel"), "copilot_sessions": str(tmp_path / "state")})
+    assert not failed and rows(found, "session_id", "ts_ms", "input_tokens") == [("sess", 1767225600000, 5), ("sess", 1767225700000, 7)]
+
+
+def test_spans_without_counts_suppress_nothing(spark, tmp_path):
+    span = lambda name, **a: {"type": "span", "traceId": "t", "name": name, "endTime": [1, 0], "attributes": a}
+    put(tmp_path, "x.jsonl", span("chat m"), span("invoke_agent a", **{"gen_ai.usage.total_tokens": 9}))
+    assert rows(jsonl_agents.copilot(spark, str(tmp_path)), "model", "session_id", "output_tokens") == [("unknown", "t", 9)]
+
+
+def test_pi_forks_follow_the_active_path(spark, tmp_path):
+    head = lambda t, parent=None: {"type": "session", "timestamp": t} | ({"parentSession": parent} if parent else {})
+    use = lambda i, up, n: {"type": "message", "timestamp": f"2026-01-01T00:00:{n:02}Z", "id": i, "parentId": up, "message": {"role": "assistant", "model": "m", "usage": {"input": n, "output": 1}}}
+    at = tmp_path / "sessions/p"
+    # The second record is a branch that was left, so the fork repeats the first and the third.
+    put(at, "x_a.jsonl", head("2026-01-01T00:00:00Z"), use("1", None, 1), use("2", "1", 2), use("3", "1", 3))
+    put(at, "x_b.jsonl", head("2026-01-01T00:00:10Z", "x_a.jsonl"), use("1", None, 1), use("3", "1", 3), use("9", "3", 20))
+    put(at, "x_c.jsonl", head("2026-01-01T00:00:10Z", "x_d.jsonl"), use("1", None, 1))  # a circle of parents stays whole
+    put(at, "x_d.jsonl", head("2026-01-01T00:00:10Z", "x_c.jsonl"), use("1", None, 1))
+    put(at, "x_e.jsonl", head("2026-01-01T00:00:10Z", "x_f.jsonl"), use("5", "6", 1))  # links in a circle
+    put(at, "x_f.jsonl", head("2026-01-01T00:00:00Z"), use("5", "6", 1), use("6", "5", 2))
+    put(at, "x_g.jsonl", head("2026-01-01T00:00:02Z", "x_a.jsonl"), use("1", None, 1), use("3", "1", 3))  # forked before the third
+    assert rows(jsonl_agents.pi(spark, str(tmp_path)), "session_id", "input_tokens") == [("a", 1), ("a", 2), ("a", 3), ("b", 20), ("c", 1), ("d", 1), ("e", 1), ("f", 1), ("f", 2), ("g", 3)]
+
+
+def test_limit_reset_is_after_the_first_bar(spark):
+    from quillmill.functions.usage import limit_reset
+
+    texts = [("Claude AI usage limit reached|17000", True), ("x Claude AI usage limit reached, see | 5|6", True), ("Claude AI usage limit reached at noon|1700000000", True), ("Claude AI usage limit reached|17000000001234", True), ("Claude AI usage limit reached|1", False), ("|5", True), ("Claude AI usage limit reached|" + "9" * 30, True)]
+    df = spark.createDataFrame(texts, "t string, e boolean")
+    assert [r[0] for r in df.select(limit_reset(F.col("t"), F.col("e"))).collect()] == [17000000, None, 1700000000000, 17000000001234000, None, None, None]
 
 
 def test_pi_and_openclaw(spark, tmp_path):
