@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.usage import DAY_MS, iso_week, local_date, quarter, salted_key
 from quillmill.operators.dedupe import claimed_cells, keep_best, without
 from quillmill.operators.summarize import derived_rollups
+from quillmill.sources.text import Place, read_documents
 
 SHARD = ["machine", "agent", "utc_date"]
 
@@ -107,10 +108,10 @@ def repaired(cell: DataFrame, old_index: DataFrame) -> DataFrame:
     return fresh.join(old_index.select(*SHARD, "hash", "late_edits"), [*SHARD, "hash"], "left").withColumn("late_edits", F.coalesce("late_edits", F.lit(0)))
 
 
-def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_shards(spark: SparkSession, path: Place, schema: str) -> DataFrame:
     """SRC-37, SRC-38: shard documents below <machine>/shards/<agent>/<Y>/<M>/<D>.json with status columns; unreadable ones stay as rows."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
-    place = F.url_decode(F.col("_metadata.file_path"))
+    raw = read_documents(spark, path)
+    place = F.col("file_path")
     pattern = r"([^/]+)/shards/([^/]+)/(\d{4})/(\d{2})/(\d{2})\.json$"
     part = [F.regexp_extract(place, pattern, k) for k in range(1, 6)]
     return raw.select(

@@ -94,7 +94,7 @@ def src_35(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {
         "RPT_01_unified_daily": rpt_01, "RPT_03_chat_weekly": rpt_03, "RPT_04_chat_sessions": rpt_04, "RPT_05_chat_blocks": rpt_05, "RPT_08_usage_monthly": rpt_08,
-        "SRC_18_sessions": src_18, "SRC_24_spans": span_entries, "SRC_32_model_usage": src_32, "SRC_35_hooks": src_35,
+        "SRC_18_sessions": src_18, "SRC_32_model_usage": src_32, "SRC_35_hooks": src_35,
     }
 
 

@@ -242,6 +242,10 @@ def openclaw(spark: SparkSession, paths: Place) -> DataFrame:
 
 # Attributes that name a session, the best first.
 SESSION_NAMES = ["gen_ai.conversation.id", "copilot_chat.session_id", "copilot_chat.chat_session_id", "session.id", "github.copilot.interaction_id", "gen_ai.response.id"]
+SPAN_NAMES = [
+    "gen_ai.operation.name", "event.name", "gen_ai.response.model", "gen_ai.request.model", "gen_ai.usage.input_tokens", "gen_ai.usage.output_tokens", "gen_ai.usage.cache_read.input_tokens", "gen_ai.usage.cache_write.input_tokens", "gen_ai.usage.cache_creation.input_tokens",
+    "gen_ai.usage.total_tokens", "gen_ai.usage.total.token_count",
+]
 _OTEL = "struct<type:string,traceId:string,spanId:string,name:string,body:string,endTime:string>"
 
 
@@ -258,18 +262,22 @@ def copilot_spans(spans: DataFrame) -> DataFrame:
     spans: file_path, type, traceId, name, ts_ms, attributes (a variant) and, if there is one, ord. Missing
     models and sessions are taken from the trace, else are unknown or the trace's id.
     """
-    a = F.col("attributes")
-    number = lambda *names: counter(F.coalesce(*[attribute(a, n).try_cast("double").cast("long") for n in names], F.lit(0).cast("long")))
+    # A generator of one row, so that each attribute is looked up once.
+    names = {n: f"_a{k}" for k, n in enumerate([*SESSION_NAMES, *SPAN_NAMES])}
+    looked_up = F.inline(F.array(F.struct(*[attribute(F.col("attributes"), n).alias(c) for n, c in names.items()])))
+    spans = spans.where("attributes is not null").select("*", looked_up)
+    a = {n: F.col(c) for n, c in names.items()}
+    number = lambda *names: counter(F.coalesce(*[a[n].try_cast("double").cast("long") for n in names], F.lit(0).cast("long")))
     span = F.coalesce(F.col("type") == "span", F.lit(False))
-    op, event, name = attribute(a, "gen_ai.operation.name"), attribute(a, "event.name"), F.coalesce("name", F.lit(""))
+    op, event, name = a["gen_ai.operation.name"], a["event.name"], F.coalesce("name", F.lit(""))
     source = (
         F.when(span & (F.coalesce(op == "chat", F.lit(False)) | name.startswith("chat ")), 0).when(~span & ((event == "gen_ai.client.inference.operation.details") | name.startswith("GenAI inference:")), 1).when(~span & ((event == "copilot_chat.agent.turn") | name.startswith("copilot_chat.agent.turn")), 2)
         .when(span & (F.coalesce(op == "invoke_agent", F.lit(False)) | name.startswith("invoke_agent ")), 3)
     )
-    model = F.regexp_replace(F.coalesce(attribute(a, "gen_ai.response.model"), attribute(a, "gen_ai.request.model")), r"-1m(-internal)?$", "")
+    model = F.regexp_replace(F.coalesce(a["gen_ai.response.model"], a["gen_ai.request.model"]), r"-1m(-internal)?$", "")
     priority = {n: 2 if "interaction" in n else 3 if "response" in n else 1 for n in SESSION_NAMES}
-    session = F.coalesce(*[F.when(attribute(a, n).isNotNull(), F.struct(F.lit(p).alias("p"), F.lit(k).alias("k"), attribute(a, n).alias("s"))) for k, (n, p) in enumerate(priority.items())])
-    rows = spans.where("attributes is not null").withColumns({"source": source, "own": model, "_session": session, "response": attribute(a, "gen_ai.response.id"), "order": F.col("ord") if "ord" in spans.columns else F.lit("")})
+    session = F.coalesce(*[F.when(a[n].isNotNull(), F.struct(F.lit(p).alias("p"), F.lit(k).alias("k"), a[n].alias("s"))) for k, (n, p) in enumerate(priority.items())])
+    rows = spans.withColumns({"source": source, "own": model, "_session": session, "response": a["gen_ai.response.id"], "order": F.col("ord") if "ord" in spans.columns else F.lit("")})
     into, cached = number("gen_ai.usage.input_tokens"), number("gen_ai.usage.cache_read.input_tokens")
     columns = {"input_tokens": into - F.least(into, cached), "output_tokens": number("gen_ai.usage.output_tokens"), "cache_creation_tokens": number("gen_ai.usage.cache_write.input_tokens", "gen_ai.usage.cache_creation.input_tokens"), "cache_read_tokens": cached}
     counts = with_total(number("gen_ai.usage.total_tokens", "gen_ai.usage.total.token_count"), columns)
