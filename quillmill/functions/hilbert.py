@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import numpy as np
 
 
-def hilbert_code(x: Column, y: Column, bits: int) -> Column:
-    """Position of (x, y) on the Hilbert curve over a square of 2^bits cells a side; x, y from 0 below 2^bits."""
+def hilbert_codes(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
+    """Positions of the points (x, y) on the Hilbert curve over a square of 2^bits cells a side; x, y from 0 below 2^bits."""
     side = 1 << bits
-    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
-
-    def step(state: Column, half: Column) -> Column:
-        right, upper = F.least(state["x"].bitwiseAND(half), F.lit(1).cast("long")), F.least(state["y"].bitwiseAND(half), F.lit(1).cast("long"))
-        quarter = half * half * (F.lit(3).cast("long") * right).bitwiseXOR(upper)
+    x, y, code = x.astype(np.int64), y.astype(np.int64), np.zeros(len(x), np.int64)
+    for half in (1 << k for k in reversed(range(bits))):
+        right, upper = (x & half > 0).astype(np.int64), (y & half > 0).astype(np.int64)
+        code += half * half * ((3 * right) ^ upper)
         turn, flip = upper == 0, (upper == 0) & (right == 1)
-        a, b = F.when(flip, side - 1 - state["x"]).otherwise(state["x"]), F.when(flip, side - 1 - state["y"]).otherwise(state["y"])
-        return F.struct(F.when(turn, b).otherwise(a).alias("x"), F.when(turn, a).otherwise(b).alias("y"), (state["d"] + quarter).alias("d"))
-
-    halves = F.array(*[F.lit(1 << k).cast("long") for k in reversed(range(bits))])
-    return F.aggregate(halves, start, step, lambda s: s["d"])
-
+        a, b = np.where(flip, side - 1 - x, x), np.where(flip, side - 1 - y, y)
+        x, y = np.where(turn, b, a), np.where(turn, a, b)
+    return code

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
-from quillmill.functions.hilbert import hilbert_code
+from quillmill.functions.hilbert import hilbert_codes
 from quillmill.runtime import discard, new_path, persisted, temporary
 
 #: Bits of each of the two coordinates: at most 2^16 cells.
@@ -64,26 +69,52 @@ def running(df: DataFrame, order: list[str], value: str, label: str) -> DataFram
     return placed.withColumn("_before", F.col("_within") + F.col("_offset")).drop("_within", "_offset", "_part")
 
 
-def found_at(value: Column, sorted_values: Column, most: int) -> Column:
-    """How many of the sorted values are at most the value, by binary search; most: a bound of their number."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most.bit_length())))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(sorted_values, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at))
+def ranks(entries: DataFrame, columns: list[str], size: int, bits: int = BITS) -> dict[str, list[bytes]]:
+    """For each text column the values at which a new rank begins: cells of equal bytes in the order of its values, less than 2^bits.
 
-
-def ranks(entries: DataFrame, columns: list[str], size: int, bits: int = BITS) -> dict[str, Column]:
-    """For each text column its rank as a coordinate from 0 below 2^bits: cells of equal bytes in the order of its values.
-
-    The exact histogram of each column's values is cut where the cumulated bytes pass a cell; at most 2^bits
-    values a column start a cell and reach the driver.
+    The exact histogram of each column's values is cut where the cumulated bytes pass a cell; only the values
+    that start a cell reach the driver. A value's rank is the number of starts that aren't beyond it.
     """
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("_which"), F.col(c).alias("_value")) for k, c in enumerate(columns)]))
     histogram = entries.select(each.alias("_e"), "bytes").groupBy("_e._which", "_e._value").agg(F.sum("bytes").alias("bytes"))
     cell = F.floor((F.col("_before") - F.col("_which") * size) * (1 << bits) / max(1, size))
-    starts: dict[int, list[str]] = {k: [] for k in range(len(columns))}
+    starts: dict[int, list[bytes]] = {k: [] for k in range(len(columns))}
     for which, _, value in running(histogram, ["_which", "_value"], "bytes", "p1-values").groupBy("_which", cell.alias("_cell")).agg(F.min("_value")).collect():
-        starts[which].append(value)
+        starts[which].append(value.encode())
     # The first cell's start is left out, so that ranks begin at 0.
-    return {c: found_at(F.col(c), F.lit(sorted(starts[k], key=lambda v: v.encode())[1:]).cast("array<string>"), 1 << bits) for k, c in enumerate(columns)}
+    return {c: sorted(starts[k])[1:] for k, c in enumerate(columns)}
+
+
+def _ranked(values: pd.Series, starts: list[bytes]) -> np.ndarray:
+    """Ranks of texts; each distinct one is looked up once a batch."""
+    codes, distinct = pd.factorize(values)
+    return np.array([bisect_right(starts, v.encode()) for v in distinct] or [0], np.int64)[codes]
+
+
+def _code_udf(starts: dict[str, list[bytes]]):
+    """Code of a session and a model on the curve."""
+
+    @pandas_udf(LongType())
+    def code(session: pd.Series, lead: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_codes(_ranked(session, starts["session"]), _ranked(lead, starts["_lead"]), BITS))
+
+    return code
+
+
+def _place_udf(starts: dict[str, list[bytes]], cuts):
+    """File and code of a record as one number, file * 4^BITS + code; cuts: broadcast first entries of all files."""
+
+    @pandas_udf(LongType())
+    def place(session: pd.Series, lead: pd.Series, mark: pd.Series, file_id: pd.Series) -> pd.Series:
+        first = cuts.value
+        code = hilbert_codes(_ranked(session, starts["session"]), _ranked(lead, starts["_lead"]), BITS)
+        here = np.empty(len(code), first.dtype)
+        here["code"], here["hash"], here["file_id"] = code, mark, file_id
+        # The records of one source file and session have one place.
+        _, at, back = np.unique(here, return_index=True, return_inverse=True)
+        return pd.Series((np.searchsorted(first, here[at], side="right") - 1)[back] * (1 << 2 * BITS) + code)
+
+    return place
 
 
 def compact(files: DataFrame, target_bytes: int = TARGET_BYTES, path: str | None = None) -> Compacted:
@@ -94,8 +125,8 @@ def compact(files: DataFrame, target_bytes: int = TARGET_BYTES, path: str | None
     histogram, from which come the ranks, and, cumulated along (code, session, source file), the first entry
     of each written file. So a cell is cut along the curve: sessions stay together, and a cell, session or
     model that holds a third of all rows spreads over as many files as its bytes need. A second pass finds
-    each record's file by the cuts of its cell (at most 2^16 cells and a cut a file, 24 bytes each, are
-    broadcast), moves it there once, and writes the files sorted. The written rows are read again and must
+    each record's file by binary search among these entries (24 bytes a file are broadcast, and less than 2^8
+    texts a coordinate), moves it there once, and writes the files sorted. The written rows are read again and must
     have the source's count and digests, else an error is raised.
     """
     spark = files.sparkSession
@@ -112,25 +143,18 @@ def compact(files: DataFrame, target_bytes: int = TARGET_BYTES, path: str | None
     entries = persisted(rows.groupBy("session", "_lead", "file_id").agg(F.sum(size).alias("bytes"), *[d.alias(n) for d, n in zip(digests, ("n", "sum", "xor"), strict=True)]), "p1-histogram")
     size_all, *source = entries.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("sum"), F.lit(0)), F.coalesce(F.bit_xor("xor"), F.lit(0))).first()
     count = max(1, -(-size_all // target_bytes))
-    rank = ranks(entries, ["session", "_lead"], size_all)
-
-    def coded(df: DataFrame) -> DataFrame:
-        cells = df.withColumns({"_x": rank["session"], "_y": rank["_lead"]})
-        return cells.withColumns({"code": hilbert_code(F.col("_x"), F.col("_y"), BITS), "_hash": F.xxhash64("session")}).drop("_x", "_y")
-
-    along = running(coded(entries).select("code", "_hash", "file_id", "bytes"), ["code", "_hash", "file_id"], "bytes", "p1-along")
-    numbered = along.withColumn("_file", F.floor(F.col("_before") * count / max(1, size_all)).cast("int"))
-    cuts = numbered.groupBy("_file").agg(F.min(F.struct("code", "_hash", "file_id")).alias("c")).groupBy("c.code").agg(F.array_sort(F.collect_list(F.struct(F.col("c._hash").alias("h"), F.col("c.file_id").alias("f"), F.col("_file").alias("n")))).alias("_cuts"))
-    ranges = persisted(numbered.groupBy("code").agg(F.min("_file").alias("_first")).join(cuts, "code", "left"), "p1-cuts")
-    here = F.struct(F.col("_hash").alias("h"), F.col("file_id").alias("f"), F.lit(count).alias("n"))
-    number = F.coalesce(F.get("_cuts", found_at(here, F.col("_cuts"), count) - 1)["n"], F.col("_first"))
+    starts = ranks(entries, ["session", "_lead"], size_all)
+    coded = entries.select(_code_udf(starts)("session", "_lead").alias("code"), F.xxhash64("session").alias("_hash"), "file_id", "bytes")
+    along = running(coded, ["code", "_hash", "file_id"], "bytes", "p1-along")
+    number = F.floor(F.col("_before") * count / max(1, size_all)).cast("int")
+    first = along.groupBy(number.alias("_file")).agg(F.min(F.struct("code", "_hash", "file_id")).alias("c")).select("c.*").collect()  # a row a file
+    cuts = spark.sparkContext.broadcast(np.sort(np.array([tuple(r) for r in first], [("code", "<i8"), ("hash", "<i8"), ("file_id", "<i8")])))
     path = path or new_path(spark, "p1-records")
-    placed = coded(rows).join(F.broadcast(ranges), "code").withColumn("_file", number)
+    placed = rows.withColumn("_place", _place_udf(starts, cuts)("session", "_lead", F.xxhash64("session"), "file_id")).withColumns({"_file": F.floor(F.col("_place") / (1 << 2 * BITS)).cast("int"), "code": F.pmod("_place", F.lit(1 << 2 * BITS))})
     placed.repartitionById(count, F.col("_file")).sortWithinPartitions("code", "session", "file_id", "line_no").select("file_id", "line_no", "session", "model", "record").write.parquet(path)
     temporary(spark, path)
     written = spark.read.parquet(path).agg(*digests).first()
-    for table in (entries, ranges):
-        discard(table)
+    discard(entries)
     if tuple(written) != tuple(source):
         raise RuntimeError(f"written records differ from the source: {tuple(written)} and {tuple(source)}")
     return Compacted(path, count, source[0], tuple(source[1:]))
