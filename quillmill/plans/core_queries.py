@@ -215,7 +215,7 @@ def distinct_sets(spark, d):
 
 # --- windows ----------------------------------------------------------------------------------------------
 
-_BLOCKS = """with recursive t as (select user_id, (epoch_us(ts) // 1000) as at_ms, cast(floor(value) as bigint) as v, event_type, row_number() over (partition by user_id order by ts, event_id) as n from events),
+BLOCKS = """with recursive t as (select user_id, (epoch_us(ts) // 1000) as at_ms, cast(floor(value) as bigint) as v, event_type, row_number() over (partition by user_id order by ts, event_id) as n from events),
  w as (select user_id, n, at_ms, v, event_type, at_ms - at_ms % 3600000 as start_ms from t where n = 1
  union all select t.user_id, t.n, t.at_ms, t.v, t.event_type, case when t.at_ms - w.start_ms > 18000000 or t.at_ms - w.at_ms > 18000000 then t.at_ms - t.at_ms % 3600000 else w.start_ms end from w join t on t.user_id = w.user_id and t.n = w.n + 1),
  b as (select cast(user_id as varchar) as key, start_ms, min(at_ms) as from_ms, max(at_ms) as to_ms, cast(sum(v) as bigint) as input_tokens, count(*) as entries, list_aggregate(list_sort(list_distinct(list(event_type))), 'string_agg', ',') as models from w group by user_id, start_ms) """
@@ -227,42 +227,43 @@ def _blocks(spark, d):
     return blocks.blocks(rows, "at", 5.0, F.col("user_id"), _NOW)
 
 
-@query("WIN_01_blocks", _BLOCKS + f"select key, start_ms, start_ms + 18000000 as end_ms, from_ms, to_ms, ({_NOW} - to_ms < 18000000 and {_NOW} < start_ms + 18000000) as active, input_tokens, entries, models from b")
+@query("WIN_01_blocks", BLOCKS + f"select key, start_ms, start_ms + 18000000 as end_ms, from_ms, to_ms, ({_NOW} - to_ms < 18000000 and {_NOW} < start_ms + 18000000) as active, input_tokens, entries, models from b")
 def win_01(spark, d):
     return _blocks(spark, d).select("key", "start_ms", "end_ms", "from_ms", "to_ms", "active", "input_tokens", "entries", F.array_join("models", ",").alias("models"))
 
 
-@query("WIN_02_gaps", _BLOCKS + ", p as (select key, lag(to_ms) over (partition by key order by start_ms, from_ms) as before, from_ms from b) select key, before + 18000000 as start_ms, from_ms as end_ms from p where from_ms - before > 18000000")
+@query("WIN_02_gaps", BLOCKS + ", p as (select key, lag(to_ms) over (partition by key order by start_ms, from_ms) as before, from_ms from b) select key, before + 18000000 as start_ms, from_ms as end_ms from p where from_ms - before > 18000000")
 def win_02(spark, d):
     return blocks.gaps(_blocks(spark, d))
 
 
-@query("WIN_04_burn_rate", _BLOCKS + "select key, start_ms, input_tokens / nullif((to_ms - from_ms) / 60000.0, 0) as tokens_per_minute, input_tokens / nullif((to_ms - from_ms) / 60000.0, 0) * 60 as cost_per_hour from b")
+@query("WIN_04_burn_rate", BLOCKS + "select key, start_ms, input_tokens / nullif((to_ms - from_ms) / 60000.0, 0) as tokens_per_minute, input_tokens / nullif((to_ms - from_ms) / 60000.0, 0) * 60 as cost_per_hour from b")
 def win_04(spark, d):
     return blocks.burn_rate(_blocks(spark, d)).select("key", "start_ms", "tokens_per_minute", "cost_per_hour")
 
 
-@query("WIN_05_projection")
+@query("WIN_05_projection", BLOCKS + f""", r as (select key, start_ms, input_tokens, input_tokens / nullif((to_ms - from_ms) / 60000.0, 0) as rate, greatest((start_ms + 18000000 - {_NOW}) / 60000.0, 0.0) as left_ from b)
+ select key, start_ms, cast(round(input_tokens + rate * left_) as bigint) as projected_tokens, round(input_tokens + rate * 60 / 60 * left_, 2) as projected_cost, cast(round(left_) as bigint) as minutes_left from r""")
 def win_05(spark, d):
     return blocks.projection(blocks.burn_rate(_blocks(spark, d)), _NOW).select("key", "start_ms", "projected_tokens", "projected_cost", "minutes_left")
 
 
-@query("WIN_06_limit_status", _BLOCKS + "select key, start_ms, case when input_tokens > 200 then 'exceeds' when input_tokens > 160 then 'warning' else 'ok' end as status from b")
+@query("WIN_06_limit_status", BLOCKS + "select key, start_ms, case when input_tokens > 200 then 'exceeds' when input_tokens > 160 then 'warning' else 'ok' end as status from b")
 def win_06(spark, d):
     return _blocks(spark, d).select("key", "start_ms", blocks.limit_status(F.col("input_tokens"), F.lit(200)).alias("status"))
 
 
-@query("AGG_10_largest_completed", _BLOCKS + f"select max(input_tokens) as max_tokens from b where not ({_NOW} - to_ms < 18000000 and {_NOW} < start_ms + 18000000)")
+@query("AGG_10_largest_completed", BLOCKS + f"select max(input_tokens) as max_tokens from b where not ({_NOW} - to_ms < 18000000 and {_NOW} < start_ms + 18000000)")
 def agg_10(spark, d):
     return blocks.largest_completed(_blocks(spark, d))
 
 
-@query("FIL_12_recent_blocks", _BLOCKS + f"select key, start_ms from b where start_ms >= {_NOW} - 3 * 86400000 or ({_NOW} - to_ms < 18000000 and {_NOW} < start_ms + 18000000)")
+@query("FIL_12_recent_blocks", BLOCKS + f"select key, start_ms from b where start_ms >= {_NOW} - 3 * 86400000 or ({_NOW} - to_ms < 18000000 and {_NOW} < start_ms + 18000000)")
 def fil_12(spark, d):
     return blocks.recent(_blocks(spark, d), _NOW).select("key", "start_ms")
 
 
-@query("FIL_07_blocks_by_start_day", _BLOCKS + "select key, start_ms from b where strftime(epoch_ms(start_ms), '%Y-%m-%d') between '2024-01-10' and '2024-01-12'")
+@query("FIL_07_blocks_by_start_day", BLOCKS + "select key, start_ms from b where strftime(epoch_ms(start_ms), '%Y-%m-%d') between '2024-01-10' and '2024-01-12'")
 def fil_07(spark, d):
     return _blocks(spark, d).where(U.in_window(U.local_date(F.col("start_ms")), "2024-01-10", "2024-01-12")).select("key", "start_ms")
 
@@ -387,7 +388,9 @@ def ded_12(spark, d):
     return dedupe.after_last(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), ["user_id"], "ts").select("event_id")
 
 
-@query("DED_13_identities")
+@query("DED_13_identities", """with recursive e as (select row_id as id, 'k1:' || spanId as key from trace where spanId is not null union all select row_id, 'k2:' || traceId from trace where name = 'chat' and traceId is not null),
+ l as (select a.id, b.id as other from e a join (select key, min(id) as id from e group by 1) b on a.key = b.key), w as (select id, other from l union select other, id from l), r(id, root) as (select row_id, row_id from trace union select w.other, r.root from r join w on w.id = r.id), c as (select id, min(root) as component from r group by 1)
+ select c.component, max(length(attributes)) as tokens, max(epoch_us(received_at)) as ts, arg_max(name, {'a': epoch_us(received_at), 'b': name}) filter (where name is not null) as model, count(*) as merged from c join trace on c.id = trace.row_id group by 1""")
 def ded_13(spark, d):
     rows = table(spark, d, "trace").select(F.col("row_id").alias("id"), F.col("spanId").alias("k1"), F.when(F.col("name") == "chat", F.col("traceId")).alias("k2"), F.length("attributes").cast("long").alias("tokens"), F.unix_micros(F.col("received_at").cast("timestamp")).alias("ts"), F.col("name").alias("model"))
     return dedupe.merged_identities(rows, ["k1", "k2"], ["tokens"])
@@ -516,10 +519,17 @@ def join_13(spark, d):
     return orders.where("o_orderstatus = 'F'").withColumn("parent", F.expr("o_orderkey div 2")).join(parents, "parent").select("o_orderkey", "parent")
 
 
-@query("JOIN_14_longest_pattern", "with p(pattern, ordinal) as (values ('a', 1), ('n_1', 2), ('1', 3), ('2', 4), ('_0', 5), ('on', 6), ('tion', 7)) select n_name, pattern from (select n_name, pattern, length(pattern) as l, ordinal from nation join p on contains(lower(n_name), pattern)) qualify row_number() over (partition by n_name order by l desc, ordinal desc) = 1")
+_PATTERNS = "select pattern, dense_rank() over (order by pattern) as ordinal from (select distinct split_part(model_id, '-', 1) as pattern from model_usage union select distinct split_part(model_id, '-', 1) || '-' || split_part(model_id, '-', 2) from model_usage) where pattern <> ''"
+
+
+@query("JOIN_14_longest_pattern", f"with p as ({_PATTERNS}), n as (select distinct message.model as model from chat where message.model is not null) select model, pattern from n join p on contains(lower(model), lower(pattern)) qualify row_number() over (partition by model order by length(pattern) desc, ordinal desc) = 1")
 def join_14(spark, d):
-    patterns = spark.createDataFrame([(p, k + 1) for k, p in enumerate(["a", "n_1", "1", "2", "_0", "on", "tion"])], "pattern string, ordinal int")
-    return lookups.longest_pattern(table(spark, d, "nation"), "n_name", patterns).select("n_name", "pattern")
+    """Model names of all chat rows against the families that the usage table has."""
+    parts = F.split("model_id", "-")
+    known = table(spark, d, "model_usage").where("model_id is not null").select("model_id").distinct()
+    patterns = known.select(F.explode(F.array(parts[0], F.concat_ws("-", parts[0], F.coalesce(F.get(parts, F.lit(1)), F.lit(""))))).alias("pattern")).where("pattern <> ''").distinct()
+    ranked = patterns.withColumn("ordinal", F.dense_rank().over(Window.orderBy("pattern")))  # the distinct families
+    return lookups.longest_pattern(table(spark, d, "chat").select(F.col("message.model").alias("model")), "model", ranked).select("model", "pattern")
 
 
 _INDEX = "select l_linestatus as machine, l_returnflag as agent, strftime(l_shipdate, '%Y-%m-%d') as utc_date, cast(sum(l_partkey) % 97 as bigint) as hash from lineitem group by 1, 2, 3"

@@ -168,8 +168,32 @@ _NESTED = f"""with t as (select row_id, coalesce(json_extract(attributes, '$."ge
  union all select 'statusline', row_id, cast(pos as integer), cast(sub_pos as integer) from u4 where regexp_full_match(json_extract_string(e, '$.context_window.total_input_tokens'), '[0-9]+')"""
 
 
+_F = r'("([^"]|"")*"|[^",\r\n]*)'
+_REASONS = rf"""with q as (select line_id, case when regexp_full_match(line, '{_F}(,{_F})*(\r?\n)?') then regexp_extract_all(regexp_replace(line, '\r?\n$', '') || ',', '("(?:[^"]|"")*"|[^",\r\n]*),', 1) end as f from chat_lines where fmt = 'csv' and line is not null), c as (select line_id, list_transform(f, lambda x: case when starts_with(x, '"') then replace(substr(x, 2, length(x) - 2), '""', '"') else x end) as f from q),
+ j as (select line_id, case when json_valid(line) and json_type(line) = 'OBJECT' and not regexp_matches(regexp_replace(line, '"(\\.|[^"\\])*"', '""', 'g'), ',\s*[}}\]]') then line end as v from chat_lines where fmt = 'jsonl' and line is not null),
+ n as (select line_id, v, json_extract(v, '$.message.usage.input_tokens') as a, json_extract(v, '$.message.usage.output_tokens') as b, json_extract(v, '$.costUSD') as cost from j),
+ r as (select line_id, case when f is null then 'syntax' when len(f) <> 9 then 'shape' when not (regexp_full_match(f[7], '[0-9]+') and regexp_full_match(f[8], '[0-9]+') and coalesce(try_cast(f[7] as hugeint), 9223372036854775808) < 9223372036854775808 and coalesce(try_cast(f[8] as hugeint), 9223372036854775808) < 9223372036854775808) or not regexp_full_match(f[9], '|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') then 'value' end as reason from c
+  union all select line_id, case when v is null then 'syntax' when not (json_exists(v, '$.timestamp') and json_exists(v, '$.sessionId') and json_exists(v, '$.message.usage.input_tokens') and json_exists(v, '$.message.usage.output_tokens')) then 'shape'
+   when not (regexp_full_match(cast(a as varchar), '[0-9]+') and regexp_full_match(cast(b as varchar), '[0-9]+') and coalesce(try_cast(cast(a as varchar) as hugeint), 9223372036854775808) < 9223372036854775808 and coalesce(try_cast(cast(b as varchar) as hugeint), 9223372036854775808) < 9223372036854775808) or not (cost is null or json_type(cost) = 'NULL' or (json_type(cost) in ('DOUBLE', 'UBIGINT', 'BIGINT') and not starts_with(cast(cost as varchar), '-'))) then 'value' end from n
+  union all select line_id, 'syntax' from chat_lines where line is null or fmt is null or fmt not in ('csv', 'jsonl'))
+ select line_id, reason from r where reason is not null"""
+
+_CHANGES = """with recursive w(row_id, stream_id, file_no, path, v) as (select row_id, stream_id, file_no, '', cast(payload as json) from store_rows where json_valid(payload) and json_type(payload) = 'OBJECT' and stream_id is not null and file_no is not null
+   union all select row_id, stream_id, file_no, path || key || '.', json_extract(v, '$."' || key || '"') from (select *, unnest(json_keys(v)) as key from w where json_type(v) = 'OBJECT')),
+ l as (select row_id, stream_id as s, file_no as f, rtrim(path, '.') as name, case json_type(v) when 'NULL' then null when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' else 'number' end as kind, case when json_type(v) in ('DOUBLE', 'UBIGINT', 'BIGINT') then cast(cast(v as double) as varchar) else cast(v as varchar) end as val from w where path <> '' and json_type(v) <> 'OBJECT'),
+ i as (select row_id, s, f, val as id from l where name = 'id' and kind in ('string', 'number', 'boolean')), p as (select s, f, name, list_sort(list(distinct kind) filter (where kind is not null)) as kinds from l group by 1, 2, 3),
+ fs as (select distinct s, f from p), q as (select a.s, a.f + 1 as f from fs a join fs b on a.s = b.s and b.f = a.f + 1),
+ gone as (select q.s, q.f, p.name from q join p on p.s = q.s and p.f = q.f - 1 where not exists (select 1 from p n where n.s = q.s and n.f = q.f and n.name = p.name)), new as (select q.s, q.f, p.name from q join p on p.s = q.s and p.f = q.f where not exists (select 1 from p o where o.s = q.s and o.f = q.f - 1 and o.name = p.name)),
+ og as (select g.s, g.f, g.name, i.id, l.kind, l.val from gone g join l on l.s = g.s and l.f = g.f - 1 and l.name = g.name and l.kind is not null join i on i.row_id = l.row_id), nw as (select n.s, n.f, n.name, i.id, l.kind, l.val from new n join l on l.s = n.s and l.f = n.f and l.name = n.name and l.kind is not null join i on i.row_id = l.row_id),
+ r as (select a.s, a.f, a.name as o, b.name as n from og a join nw b on a.s = b.s and a.f = b.f and a.id = b.id group by all having bool_and(a.kind = b.kind and a.val = b.val))
+ select s as stream_id, f as file_no, o as old_name, n as new_name from r union all select s, f, name, '' from gone where not exists (select 1 from r where r.s = gone.s and r.f = gone.f and r.o = gone.name) union all select s, f, '', name from new where not exists (select 1 from r where r.s = new.s and r.f = new.f and r.n = new.name)
+ union all select b.s, b.f, b.name, b.name from p a join p b on a.s = b.s and b.f = a.f + 1 and a.name = b.name where coalesce(len(a.kinds), 0) > 0 and coalesce(len(b.kinds), 0) > 0 and a.kinds <> b.kinds"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _REASONS,
+        "p5_found": _CHANGES,
         "p3_found": _NESTED,
         "p3_linked": f"""with u as (select row_id, payload as p, json_extract(payload, '$.subagents') as agents from statusline), {_elements("u", "agents", "subagents")}
             select x.row_id, cast(x.pos as integer) as pos, cast(x.sub_pos as integer) as sub_pos, json_extract_string(x.e, '$.name') as name, json_extract_string(y.e, '$.name') as outer_name, json_extract_string(u.p, '$.model.id') as model_id

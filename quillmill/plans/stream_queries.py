@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.plans.core_queries import BLOCKS
 from quillmill.runtime import prepare
 from quillmill.streaming import usage_streams as S
 
@@ -30,7 +31,7 @@ def str_03(spark: SparkSession, d: str) -> DataFrame:
 
 
 def str_04(spark: SparkSession, d: str) -> DataFrame:
-    return S.collected(S.streamed_blocks(_events(spark, d), F.col("user_id"), "ts"))
+    return S.all_blocks(S.streamed_blocks(_events(spark, d), F.col("user_id"), "ts"))
 
 
 def queries() -> dict:
@@ -41,5 +42,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "STR_01_quarter_cells": "select (epoch_us(ts) // 900000000) * 900000 as start_ms, event_type, count(*) as n from events group by 1, 2",
         "STR_02_partition_overwrite": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2",
+        "STR_04_blocks": BLOCKS + "select key, start_ms, from_ms, to_ms, entries as n from b",
         "STR_03_once_each": "select distinct cast(event_id // 2 as varchar) as key from events",
     }

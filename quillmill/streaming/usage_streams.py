@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillmill.functions.usage import HOUR_MS
-from quillmill.runtime import new_path
+from quillmill.runtime import new_path, temporary
 
 
 def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -75,18 +75,33 @@ def into_table(df: DataFrame, path: str, partition: list[str], mode: str = "upda
     return run(df, apply, mode)
 
 
-def run(df: DataFrame, apply: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
-    """STR-05: one query over what is there now, with its checkpoint in the shared folder; for a standing one use a processing-time trigger."""
+def run(df: DataFrame, apply: Callable[[DataFrame, int], None], mode: str = "append", state: str | None = None) -> StreamingQuery:
+    """STR-05: one query over what is there now, with its checkpoint in the shared folder (or at state); for a standing one use a processing-time trigger."""
     spark = df.sparkSession
-    return df.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start()
+    return df.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", state or new_path(spark, "stream-state")).trigger(availableNow=True).start()
 
 
-def collected(df: DataFrame, mode: str = "append") -> DataFrame:
+def collected(df: DataFrame, mode: str = "append", state: str | None = None) -> DataFrame:
     """All output of a stream over what is there now, as a table in the shared folder."""
     path = new_path(df.sparkSession, "stream-out")
 
     def append(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run(df, append, mode).awaitTermination()
+    run(df, append, mode, state).awaitTermination()
+    temporary(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch=*")
+
+
+def all_blocks(stream: DataFrame) -> DataFrame:
+    """STR-04: the blocks of streamed_blocks over what is there now, those still open included.
+
+    A block ends in the stream only when the watermark has passed it, so after the run the open one of each
+    key is read from the stream's state.
+    """
+    spark = stream.sparkSession
+    state = new_path(spark, "stream-state")
+    closed = collected(stream, state=state)
+    temporary(spark, state)
+    held = spark.read.format("statestore").load(state).select(F.col("key._key").alias("key"), *[F.col(f"value.groupState.{f.name}").alias(n) for f, n in zip(_STATE.fields, _BLOCK.names[1:], strict=True)])
+    return closed.unionByName(held.where("start_ms is not null"))
