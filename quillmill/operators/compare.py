@@ -14,11 +14,14 @@ def counterfactual(usage: DataFrame, mapping: DataFrame, rates: DataFrame) -> Da
     nothing comparable come last, then falling saving: by other cost and name. The percentage is null
     without actual cost.
     """
+    # The number of models is an aggregate of its own, joined by a constant key: one row.
+    number = usage.agg(F.count(F.lit(1)).alias("_all")).withColumn("_one", F.lit(1))
     rows = mapping.join(usage, "model", "left").join(rates, "target", "left")
     priced = F.col("rate").isNotNull() & F.col("tokens").isNotNull()
     found = rows.groupBy("provider").agg(
         F.sum(F.when(priced, F.col("cost"))).alias("actual"),
         F.sum(F.when(priced, F.col("tokens") * F.col("rate"))).alias("other"),
-        (F.lit(usage.count()) - F.sum(priced.cast("long"))).alias("excluded"),
+        F.sum(priced.cast("long")).alias("_priced"),
     )
+    found = found.withColumn("_one", F.lit(1)).join(F.broadcast(number), "_one").withColumn("excluded", F.col("_all") - F.col("_priced")).drop("_one", "_all", "_priced")
     return found.withColumn("saving", F.col("actual") - F.col("other")).withColumn("percent", F.when(F.col("actual") > 0, F.col("saving") * 100 / F.col("actual"))).orderBy(F.col("other").isNull(), "other", "provider")

@@ -46,6 +46,11 @@ def content_hash(cell: DataFrame) -> DataFrame:
     return cell.groupBy(*SHARD).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("hash"))
 
 
+def in_order(cell: DataFrame) -> DataFrame:
+    """SRT-07: cells by quarter hour, machine, agent and model, the days in turn."""
+    return cell.orderBy("utc_date", "bucket", "machine", "agent", "model")
+
+
 def apply_shards(cell: DataFrame, path: str) -> None:
     """SYN-01, SNK-09: replace all cells of the shards present; others stay. Applying twice changes nothing."""
     cell.repartition(*SHARD).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SHARD).parquet(path)

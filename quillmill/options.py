@@ -45,12 +45,16 @@ class Options:
     project: str | None = None
     length_hours: float = 5.0
     now_ms: int | None = None
+    recent: bool = False
+    token_limit: int | str | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "since", bound(self.since))
         object.__setattr__(self, "until", bound(self.until))
         if self.order not in ("asc", "desc"):
             raise ValueError("order is asc or desc")
+        if self.token_limit not in (None, "max") and int(self.token_limit) <= 0:
+            raise ValueError("a token limit is a positive number or max")
         if self.length_hours <= 0:
             raise ValueError("a block has a positive length")
         zoneinfo.ZoneInfo(self.zone)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.usage import in_window, local_date, week_start
-from quillmill.operators import blocks, summarize
+from quillmill.operators import blocks, compare, summarize
 from quillmill.options import Options
 
 
@@ -48,12 +48,54 @@ def unified(entries: DataFrame, kind: str, options: Options = Options()) -> Data
     return found.orderBy(F.desc("cost"), "period") if kind == "session" else found.orderBy(F.asc("period") if options.order == "asc" else F.desc("period"))
 
 
+def unified_rows(entries: DataFrame, kind: str, options: Options = Options()) -> DataFrame:
+    """SRT-04: the agents of each period as rows, by period and agent, in reverse for falling order."""
+    rows = unified(entries, kind, options).select("period", F.explode("agents").alias("a")).select("period", "a.*")
+    return rows.orderBy("period", "agent") if options.order == "asc" else rows.orderBy(F.desc("period"), F.desc("agent"))
+
+
 def block_report(entries: DataFrame, options: Options = Options()) -> DataFrame:
-    """Blocks with rates and projections, by start."""
+    """RPT-05: blocks with rates and projections, by start.
+
+    recent: only those of the last days or active; token_limit: a number, or max for the greatest completed
+    block shown, gives each block its share of the limit and its status.
+    """
     found = blocks.blocks(entries.withColumn("cost", F.coalesce("stored_cost", F.lit(0.0))), "ts_ms", options.length_hours, None, options.now_ms)
     kept = found.where(in_window(local_date(F.col("start_ms"), options.zone), options.since, options.until))
+    if options.recent and options.now_ms is not None:
+        kept = blocks.recent(kept, options.now_ms)
     rated = blocks.burn_rate(kept)
-    return (blocks.projection(rated, options.now_ms) if options.now_ms is not None else rated).orderBy("start_ms")
+    if options.now_ms is not None:
+        rated = blocks.projection(rated, options.now_ms)
+    if options.token_limit is not None:
+        limit = blocks.largest_completed(kept).first()[0] if options.token_limit == "max" else int(options.token_limit)
+        tokens = sum((F.col(c) for c in summarize.COUNTERS[1:]), F.col(summarize.COUNTERS[0]))
+        if limit:
+            rated = rated.withColumns({"token_limit": F.lit(limit).cast("long"), "limit_percent": tokens * 100 / limit, "limit_status": blocks.limit_status(tokens, F.lit(limit))})
+    return rated.orderBy("start_ms")
+
+
+def codex(entries: DataFrame, kind: str, options: Options = Options()) -> DataFrame:
+    """RPT-09: usage by day, week, month or session file with a map from model to its own usage; sessions have the file's name and folder."""
+    rows = dated(entries, options)
+    day = F.col("date")
+    period = {"daily": day, "weekly": F.date_format(week_start(F.to_date(day), options.first_day), "yyyy-MM-dd"), "monthly": F.substring(day, 1, 7), "session": F.col("session_id")}[kind]
+    sums = [F.sum(c).alias(c) for c in (*summarize.COUNTERS, "cost")]
+    by_model = rows.withColumn("period", period).groupBy("period", "model").agg(*sums, F.max("ts_ms").alias("last_ms"))
+    named = F.struct(*summarize.COUNTERS, "cost")
+    found = by_model.groupBy("period").agg(*sums, F.max("last_ms").alias("last_ms"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", named)))).alias("models"))
+    if kind != "session":
+        return found.drop("last_ms").orderBy(F.asc("period") if options.order == "asc" else F.desc("period"))
+    file = F.regexp_extract("period", "([^/]*)$", 1)
+    return found.withColumns({"session_file": file, "directory": F.regexp_extract("period", "^(.*)/[^/]*$", 1)}).orderBy("last_ms", "period")
+
+
+def comparison(entries: DataFrame, mapping: DataFrame, rates: DataFrame, providers: list[str] | None = None, options: Options = Options()) -> DataFrame:
+    """RPT-07: what the usage of each model would come to by other providers: mapping (model, provider, target), rates (target, rate)."""
+    used = summarize.by_model(dated(entries, options))
+    tokens = sum((F.col(c) for c in summarize.COUNTERS[1:]), F.col(summarize.COUNTERS[0]))
+    chosen = mapping.where(F.col("provider").isin(providers)) if providers else mapping
+    return compare.counterfactual(used.select("model", tokens.alias("tokens"), "cost"), chosen, rates)
 
 
 def status(entries: DataFrame, session: str, options: Options) -> dict:

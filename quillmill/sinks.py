@@ -7,6 +7,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterable
+from datetime import UTC, datetime
 from decimal import Decimal
 from typing import Any
 
@@ -109,3 +110,59 @@ def status_line(model: str, session_cost: float | None, today: float | None, blo
     left = "" if minutes_left is None else f" ({minutes_left // 60}h {minutes_left % 60}m left)"
     share = "N/A" if not context or not size else f"{context:,} ({round(context * 100 / size)}%)"
     return f"{model} | {money(session_cost)} session / {money(today)} today / {money(block)} block{left} | {share}"
+
+
+_COUNTS = [("Input", "input_tokens"), ("Output", "output_tokens"), ("Cache Create", "cache_creation_tokens"), ("Cache Read", "cache_read_tokens")]
+#: SNK-04: heads and columns of each report's table.
+LAYOUTS: dict[str, list[tuple[str, str]]] = {
+    "agent": [("Period", "period"), ("Models", "models"), *_COUNTS, ("Total Tokens", "total_tokens"), ("Cost (USD)", "cost")],
+    "session": [("Session", "session_id"), ("Models", "models"), *_COUNTS, ("Total Tokens", "total_tokens"), ("Cost (USD)", "cost"), ("Last Activity", "last_ms")],
+    "unified": [("Period", "period"), ("Agent", "agent"), ("Models", "models"), *_COUNTS, ("Total Tokens", "total_tokens"), ("Cost (USD)", "cost")],
+    "blocks": [("Block Start", "start_ms"), ("Duration", "duration"), ("Models", "models"), ("Tokens", "total_tokens"), ("%", "limit_percent"), ("Cost", "cost"), ("Status", "status")],
+    "codex": [("Period", "period"), ("Models", "models"), *_COUNTS, ("Total Tokens", "total_tokens"), ("Cost (USD)", "cost")],
+}
+
+
+def _moment(ms: int | None) -> str | None:
+    return None if ms is None else datetime.fromtimestamp(ms / 1000, UTC).strftime("%Y-%m-%d %H:%M")
+
+
+def laid_out(kind: str, row: dict[str, Any]) -> dict[str, Any]:
+    """The values of one report row under the heads of its table."""
+    row = dict(row)
+    counts = [row.get(c) or 0 for _, c in _COUNTS]
+    row.setdefault("total_tokens", sum(counts))
+    if isinstance(row.get("models"), dict):
+        row["models"] = sorted(row["models"])
+    if kind == "blocks":
+        minutes = (row["to_ms"] - row["from_ms"]) // 60_000
+        row |= {"duration": f"{minutes // 60}h {minutes % 60}m", "status": row.get("limit_status") or ("ACTIVE" if row["active"] else ""), "start_ms": _moment(row["start_ms"])}
+        share = row.get("limit_percent")
+        row["limit_percent"] = None if share is None else f"{share:.1f}%"
+    if row.get("last_ms") is not None:
+        row["last_ms"] = _moment(row["last_ms"])
+    return {head: row.get(column) for head, column in LAYOUTS[kind]}
+
+
+def report_table(kind: str, rows: Iterable[Any], title: str | None = None, most: int = 160, cost: bool = True, gaps: Iterable[Any] = ()) -> str:
+    """SNK-04: the table of a report: its rows, nested agents below their period, gaps between blocks, and a row of totals."""
+    shown: list[tuple[Any, dict]] = []
+    totals: dict[str, float] = {}
+    for r in rows:
+        row = r.asDict(recursive=True)
+        line = laid_out(kind, row | ({"agent": "all"} if kind == "unified" else {}))
+        for head, column in LAYOUTS[kind]:
+            if column in ("total_tokens", "cost") or (head, column) in _COUNTS:
+                totals[head] = totals.get(head, 0) + (line[head] or 0)
+        shown.append((row.get("start_ms"), line))
+        shown += [(None, laid_out(kind, agent) | {"Period": ""}) for agent in row.get("agents") or []]
+    if kind == "blocks":
+        for g in gaps:
+            hours = (g["end_ms"] - g["start_ms"]) // 3_600_000
+            shown.append((g["start_ms"], {h: None for h, _ in LAYOUTS[kind]} | {"Block Start": _moment(g["start_ms"]), "Duration": f"{hours}h gap", "Status": "inactive"}))
+        shown.sort(key=lambda x: x[0])
+    heads = [h for h, _ in LAYOUTS[kind] if cost or not h.startswith("Cost")]
+    lines = [line for _, line in shown]
+    if lines:
+        lines.append({h: None for h in heads} | totals | {heads[0]: "Total"})
+    return table(lines, heads, most, title)
