@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmill.operators import sync
 from quillmill.options import Options
 from quillmill.plans import core_queries, reports, source_queries
-from quillmill.runtime import table
+from quillmill.runtime import persisted, table
 from quillmill.sources import jsonl_agents, registry
 
 _SUMS = "cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, cast(sum(cache_creation_tokens) as bigint) as cache_creation_tokens, cast(sum(cache_read_tokens) as bigint) as cache_read_tokens"
@@ -64,10 +64,11 @@ def rpt_05(spark: SparkSession, d: str) -> DataFrame:
 
 def rpt_07(spark: SparkSession, d: str) -> DataFrame:
     """Usage by model against rates of two providers that know some of the models."""
-    models = entries(spark, d).where("model is not null").select("model").distinct()
+    found = persisted(entries(spark, d), "rpt-entries")
+    models = found.where("model is not null").select("model").distinct()
     mapping = models.where(~F.col("model").endswith("0")).select("model", F.explode(F.array(F.lit("one"), F.lit("two"))).alias("provider")).withColumn("target", F.concat_ws("/", "provider", "model"))
     rates = mapping.where("provider = 'one' or model like 'v%'").select("target", (F.length("target") / 1e6).alias("rate"))
-    return reports.comparison(entries(spark, d), mapping, rates).select("provider", "actual", "other", "excluded")
+    return reports.comparison(found, mapping, rates).select("provider", "actual", "other", "excluded")
 
 
 def rpt_09(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Reports as JSON and text tables. Only results reach the driver, which has at most one row a period and key."""
+"""Reports as JSON and text tables. Tables and whole JSON documents are for reports that a person reads; json_rows is for any size."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from datetime import UTC, datetime
 from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _COSTS = {"total_cost", "cost_usd", "cost", "totalCost", "costUSD"}
 
@@ -38,8 +39,21 @@ def without_cost(value: Any) -> Any:
     return [without_cost(v) for v in value] if isinstance(value, list) else value
 
 
+def json_rows(rows: DataFrame) -> DataFrame:
+    """SNK-01 for reports of any size: each row as JSON text (SNK-07: whole floats as whole numbers), made and written by the tasks."""
+    def shown(name: str, kind: str) -> Column:
+        value = F.col(f"`{name}`")
+        if kind not in ("double", "float") and not kind.startswith("decimal"):
+            return F.to_json(F.struct(value.alias(name)))
+        whole = (value == F.floor(value)) & (F.abs(value) < 2**53)
+        return F.when(whole, F.to_json(F.struct(value.cast("long").alias(name)))).otherwise(F.to_json(F.struct(value.cast("double").alias(name))))
+
+    parts = [F.regexp_extract(shown(n, k), r"(?s)^\{(.*)\}$", 1) for n, k in rows.dtypes]
+    return rows.select(F.concat(F.lit("{"), F.array_join(F.filter(F.array(*parts), lambda p: p != ""), ","), F.lit("}")).alias("value"))
+
+
 def to_json(rows: DataFrame, name: str, totals: DataFrame | None = None, cost: bool = True) -> str:
-    """SNK-01: {name: [...], totals: {...}}."""
+    """SNK-01: {name: [...], totals: {...}}, for reports by period, which have a row a day at most; json_rows has no such bound."""
     report: dict[str, Any] = {name: [plain(r) for r in rows.toLocalIterator()]}
     if totals is not None:
         report["totals"] = plain(totals.first())

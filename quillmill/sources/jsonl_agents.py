@@ -75,7 +75,7 @@ _CODEX = f"struct<type:string,{_RESULT},data:struct<{_RESULT}>,result:struct<{_R
 
 def raw_usage(u: Column) -> Column:
     """PRJ-09: counts by their aliases, cached and written tokens within the input, a total derived where absent or 0."""
-    first = lambda *names: F.coalesce(*[F.greatest(u[n], F.lit(0)) for n in names], F.lit(0).cast("long"))
+    first = lambda *names: F.greatest(F.coalesce(*[u[n] for n in names], F.lit(0).cast("long")), F.lit(0).cast("long"))
     into, out = first("input_tokens", "prompt_tokens", "input"), first("output_tokens", "completion_tokens", "output")
     cached = F.least(first("cached_input_tokens", "cache_read_input_tokens", "cached_tokens"), into)
     written = F.least(first("cache_write_input_tokens", "cache_creation_input_tokens"), into - cached)
@@ -123,7 +123,8 @@ def codex(spark: SparkSession, paths: Place, default_model: str = "gpt-5", by_se
     grown = F.struct(*[less(f) for f in "icwort"])
     advanced = F.col("total").isNull() | F.col("previous").isNull() | (F.col("total") != F.col("previous"))
     counted = state.where("kind in ('token_count', 'alone') and ts_ms is not null").withColumn("u", F.coalesce(F.when(advanced, F.col("last")), F.when(F.col("total").isNotNull(), grown))).where("u is not null and u.i + u.c + u.w + u.o + u.r > 0")
-    counted = counted.withColumns({"session": F.coalesce("id", "rel"), "model": F.coalesce("own", "model", F.lit(default_model))})
+    # A table, as its forks, their parents and the rest are read from it in turn.
+    counted = persisted(counted.select("file_path", "rel", "ord", "ts_ms", F.coalesce("own", "model", F.lit(default_model)).alias("model"), "state", "u", "parent", "forked_ms", F.coalesce("id", "rel").alias("session")), "codex-events")
     own = counted.where("parent is null")
     forks = counted.where("parent is not null")
     parents = counted.select(F.col("session").alias("parent")).distinct()
@@ -284,6 +285,7 @@ def copilot_spans(spans: DataFrame) -> DataFrame:
     trace = rows.where("traceId is not null").groupBy("file_path", "traceId").agg(F.min(F.when(F.col("own").isNotNull(), F.struct("order", "own")))["own"].alias("_m"), F.min(F.when(F.col("_session").isNotNull(), F.struct("_session.p", "order", "_session.k", "_session.s")))["s"].alias("_s"))
     rows = rows.where("source is not null").withColumns({f"_{k}": v for k, v in counts.items()}).where(" + ".join(f"_{k}" for k in counts) + " > 0").join(trace, ["file_path", "traceId"], "left")
     rows = rows.withColumns({"own": F.coalesce("own", "_m", F.lit("unknown")), "session": F.coalesce("_session.s", "_s", "traceId", F.lit("unknown-session"))})
+    rows = persisted(rows.select("file_path", "source", "traceId", "response", "session", "own", "ts_ms", *[f"_{k}" for k in counts]), "copilot-spans")  # four kinds are read from it in turn
     kept = by_precedence([rows.where(F.col("source") == k) for k in range(4)], [["file_path", "traceId"], ["file_path", "response"]])
     return used(entries(kept, "copilot", ts_ms=F.col("ts_ms"), session_id=F.col("session"), project_path=F.lit("GitHub Copilot CLI"), message_id=F.col("response"), model=F.col("own"), message_count=F.lit(1), **{k: F.col(f"_{k}") for k in counts}))
 

@@ -229,7 +229,7 @@ def test_calendar(spark):
     assert one(U.finalised(F.lit("2026-01-01").cast("date"), F.lit(1767312000000 + 48 * 3_600_000))) is False and one(U.finalised(F.lit("2026-01-01").cast("date"), F.lit(1767312000001 + 48 * 3_600_000))) is True
     assert one(U.iso_ms(F.lit("2026-01-01"))) is None and one(U.iso_ms(F.lit("2026-01-01T00:00:00.123+01:00"))) == 1767222000123
     assert one(U.salted_key("s", F.lit(None).cast("string"))) != one(U.salted_key("s", F.lit("")))
-    assert one(U.limit_reset(F.lit("usage limit reached|1767222000"), F.lit(True))) == 1767222000000 and one(U.limit_reset(F.lit("none"), F.lit(True))) is None
+    assert one(U.limit_reset(F.lit("Claude AI usage limit reached|1767222000"), F.lit(True))) == 1767222000000 and one(U.limit_reset(F.lit("none"), F.lit(True))) is None
     assert one(U.project_name(F.lit("-Users-me-code-app"))) == "code-app" and one(U.model_lines(F.array(F.lit("b"), F.lit("a"), F.lit("b")))) == "- a\n- b"
 
 
