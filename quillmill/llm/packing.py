@@ -162,7 +162,7 @@ def _places(patterns: list[Pattern], capacity: int) -> tuple[np.ndarray, ...]:
     return (table[:, 0] << 50) + table[:, 1], table[:, 2], table[:, 3]
 
 
-def pack(sizes: DataFrame, capacity: int = 2048, salts: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = 2048, share: int = 500_000) -> DataFrame:
     """doc_id, piece, start, n_tokens, container: each document's place.
 
     sizes: doc_id (unique) and n_tokens. A document over the capacity, and only such a one, is cut into
@@ -170,9 +170,10 @@ def pack(sizes: DataFrame, capacity: int = 2048, salts: int = 64) -> DataFrame:
     container (null); an empty table gives no rows.
 
     Only the histogram reaches the driver (at most capacity numbers), and only the patterns are broadcast,
-    of which there are a few for each size. Ranks within a size are counted in salted parts, so that a
-    size that a third of all documents share is ranked by many tasks.
+    of which there are a few for each size. Ranks within a size are counted in salted parts, one for each
+    share of the documents, so that no task ranks many more than share items whatever their sizes.
     """
+    salts = 1 + sizes.count() // share
     n = F.coalesce("n_tokens", F.lit(0)).cast("long")
     starts = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1, F.lit(capacity).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     pieces = persisted(
@@ -189,7 +190,7 @@ def pack(sizes: DataFrame, capacity: int = 2048, salts: int = 64) -> DataFrame:
     ranked = (
         pieces.where("n_tokens > 0")
         .withColumn("_rank", F.row_number().over(Window.partitionBy("n_tokens", "_salt").orderBy("doc_id", "piece")) - 1)
-        .join(F.broadcast(offsets), ["n_tokens", "_salt"])  # at most capacity times salts rows of 20 bytes
+        .join(offsets, ["n_tokens", "_salt"])
         .select("doc_id", "piece", "start", "n_tokens", (F.col("_rank") + F.col("_offset")).alias("_rank"))
     )
     table = sizes.sparkSession.sparkContext.broadcast((start, container, each))
