@@ -29,6 +29,11 @@ def _cut(times: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
         k = end
 
 
+def _by_minute(length: int) -> bool:
+    """Whether blocks of this length end at full minutes only."""
+    return length >= HOUR_MS and length % 60_000 == 0
+
+
 def block_bounds(times: DataFrame, length_ms: int) -> DataFrame:
     """_key, start_ms, from_ms, to_ms of each block; times: _key and _at.
 
@@ -41,7 +46,7 @@ def block_bounds(times: DataFrame, length_ms: int) -> DataFrame:
     bounds a key by its time span, three rows a minute, whatever its number of rows, and the reduction is
     partially aggregated before the shuffle.
     """
-    if length_ms >= HOUR_MS and length_ms % 60_000 == 0:
+    if _by_minute(length_ms):
         minute = F.floor(F.col("_at") / 60_000)
         reduced = times.groupBy("_key", minute.alias("_m")).agg(F.min("_at").alias("a"), F.min(F.when(F.pmod("_at", F.lit(60_000)) > 0, F.col("_at"))).alias("b"), F.max("_at").alias("c"))
         reduced = reduced.select("_key", F.explode(F.array_distinct(F.array("a", F.coalesce("b", "a"), "c"))).alias("_at"))
@@ -67,7 +72,9 @@ def blocks(entries: DataFrame, at: str, length_hours: float = 5.0, key: Column |
     bounds = block_bounds(rows.select("_key", "_at"), length)
     # Equi-join on (key, hour): each block is listed under the hours it spans, at most its length and one.
     hours = bounds.withColumn("_hour", F.explode(F.sequence(F.floor(F.col("from_ms") / HOUR_MS), F.floor(F.col("to_ms") / HOUR_MS))))
-    by_minute = rows.groupBy("_key", "_at", "model").agg(*[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "cost")], F.count(F.lit(1)).alias("entries"))
+    # A block may end just after a full minute, never within one, so rows of a minute go together but for those at its very start.
+    within = [F.floor(F.col("_at") / 60_000).alias("_m"), (F.pmod("_at", F.lit(60_000)) == 0).alias("_full")] if _by_minute(length) else [F.col("_at").alias("_m")]
+    by_minute = rows.groupBy("_key", *within, "model").agg(F.min("_at").alias("_at"), *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "cost")], F.count(F.lit(1)).alias("entries"))
     joined = by_minute.withColumn("_hour", F.floor(F.col("_at") / HOUR_MS)).join(hours, ["_key", "_hour"]).where("_at between from_ms and to_ms")
     found = joined.groupBy("_key", "start_ms", "from_ms", "to_ms").agg(
         *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "cost", "entries")], F.array_sort(F.collect_set("model")).alias("models")
